@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from inkstrata.llm import decontamination, near_dedup, packing, toxicity
+from inkstrata.llm import decontamination, near_dedup, packing, secret_scan, toxicity
 from inkstrata.llm.common import materialise, read_table
 from inkstrata.llm.queries import tokenizer_path
 
@@ -27,6 +26,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontamination.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mask."""
+    return secret_scan.redact(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document, with its sequence and the place in it."""
     return packing.pack(docs, tokenizer_path())
@@ -36,6 +40,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_benchmark),
+    ("secrets", redact_secrets),
     ("packing", pack_sequences),
 ]
 

@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import decontamination, matroska, near_dedup, packing, quality, toxicity
+from inkstrata.llm import decontamination, html_text, language_model, matroska, near_dedup, packing, quality, secret_scan, toxicity, url_filter
 from inkstrata.llm.common import read_table
 
 
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op2_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op3_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -42,8 +58,19 @@ def op10_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_dart_minhash, op6_linear_grouping, op7_matroska, op8_factorization_machine, op9_bm25_wand, op10_subword_embeddings)
+    for f in (
+        op1_site_templates,
+        op2_randomness_battery,
+        op3_path_templates,
+        op4_dart_minhash,
+        op5_elias_fano_trie,
+        op6_linear_grouping,
+        op7_matroska,
+        op8_factorization_machine,
+        op9_bm25_wand,
+        op10_subword_embeddings,
+    )
 }
 
 #: SQL for the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_path_templates": url_filter.oracle_sql()}
