@@ -5,15 +5,15 @@ white space; a shorter text is one shingle).  The similarity of two documents is
 the weighted Jaccard index of those multisets; documents linked at
 ``SIMILARITY`` or more, directly or through others, form a class.
 
-1. One pass makes, for each document, a fingerprint of its words, the bands of
-   its weighted signature, and its shingles as hashes.
+1. One pass makes, for each document, a fingerprint of its words and the bands of
+   its weighted signature.
 2. Equal fingerprints are exact copies: one of them stands for all.
 3. Documents that share a band are candidates.  A bucket is never expanded into
    its pairs: its members are compared with its leader (lowest id), then, as
    long as they are not yet in one component with them, with leaders picked by
    hash, and last with the members of other components of the bucket.  Every
    pair of a bucket is thus verified, or in one class already.
-4. Verification computes the exact similarity from the shingle hashes.
+4. Verification computes the exact similarity from the shingle hashes of candidates.
 5. Components grow by label propagation with pointer jumping on tables.
 """
 
@@ -39,6 +39,9 @@ EXTRA_ROUNDS = 2
 #: First leaders that a member is compared with: those it shares the most bands with.
 FIRST_LEADERS = 2
 
+#: Ids of candidates (8 bytes each) that may be sent to every task.
+BROADCAST_ROWS = 2_000_000
+
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POLY = np.uint64(0x100000001B3)
@@ -147,25 +150,39 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, words (fingerprint), bands, shingles of every document with an id."""
+    """doc_id, words (fingerprint), bands of every document with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                prints, bands, sets = [], [], []
+                prints, bands = [], []
                 for text in batch.column("text").to_pylist():
                     elements, counts = shingles(text)
                     prints.append(xxhash.xxh3_128_digest(" ".join(text.lower().split())))
                     bands.append(band_keys(dart_signature(elements, counts, BANDS * ROWS)) if len(elements) else np.zeros(0, np.int64))
-                    sets.append(pack_set(elements, counts))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                    ["doc_id", "words", "bands", "shingles"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "words", "bands"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, words binary, bands array<long>, shingles binary")
+    return rows.mapInArrow(run, "doc_id long, words binary, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, shingles (packed) of the documents whose ids are given.
+
+    Few ids go to the texts; more than ``broadcast_rows``, and texts and ids meet by id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = [pack_set(*shingles(t)) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    few = ids.count() <= broadcast_rows
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return rows.mapInArrow(run, "doc_id long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -198,18 +215,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(table: DataFrame) -> DataFrame:
-    """Verified links (a, b), a < b, that join the documents of each class; ``table`` has one document per text."""
-    sets = table.select("doc_id", "shingles")
-    buckets = table.select("doc_id", F.explode("bands").alias("bucket"))
+def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links (a, b), a < b, that join the documents of each class; ``texts`` has doc_id and bands, one row per text."""
+    # dealt by bucket once: the counts and the join below share the exchange
+    buckets = texts.select("doc_id", F.explode("bands").alias("bucket")).repartition("bucket")
     shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = materialise(buckets.join(shared, "bucket"), "buckets")
     first = buckets.where("leader < doc_id").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))
     order = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
     first = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIRST_LEADERS).select("a", "b")
     # only candidates are ever compared: their shingles go to a table of their own, once
-    near = buckets.select("doc_id").distinct()
-    sets = materialise(sets.join(near, "doc_id", "left_semi"), "sets")
+    near = materialise(buckets.select("doc_id").distinct(), "near")
+    sets = materialise(shingle_sets(docs, near), "sets")
     tried = materialise(first, "tried")
     edges = materialise(verified(tried, sets), "links")
     for turn in range(EXTRA_ROUNDS + 1):
@@ -242,10 +259,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     get a row; an id given to different texts links their classes to its own.
     """
     table = materialise(signatures(docs), "signatures")
-    texts = materialise(table.groupBy("words").agg(F.min("doc_id").alias("doc_id")), "texts")
-    # the join already deals by these keys: repeated rows fold into one without another exchange
-    one = table.join(texts, ["words", "doc_id"], "left_semi").groupBy("words", "doc_id").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
-    found = links(one)
+    # copies fold before they are shuffled; equal words have equal bands
+    texts = materialise(table.groupBy("words").agg(F.min(F.struct("doc_id", "bands")).alias("one")).select("words", "one.doc_id", "one.bands"), "texts")
+    found = links(texts, docs)
     label = components(found)
     classes = texts.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("words", F.col("doc_id").alias("copy_of"), F.coalesce("label", "doc_id").alias("class_id"))
     out = table.select("doc_id", "words").join(classes, "words").select("doc_id", "class_id", "copy_of")
