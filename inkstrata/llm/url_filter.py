@@ -62,23 +62,26 @@ def _prefix(parts: str, depth: int) -> Column:
 def generalised(urls: DataFrame) -> DataFrame:
     """(host, template, parts, n, blocked, labelled) with wildcards where a host's values vary by their counts."""
     table = urls.groupBy("host", "template").agg(F.first("parts").alias("parts"), F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-    table = materialise(table, "templates").withColumn("general", F.col("parts"))
-    for d in range(1, DEPTH + 1):
+    table = materialise(table, "templates")
+    deepest = table.agg(F.max(F.size("parts"))).first()[0] or 0
+    table = table.withColumn("general", F.col("parts"))
+    for d in range(1, min(DEPTH, deepest) + 1):
         here = table.where(F.size("parts") >= d).groupBy("host", _prefix("parts", d - 1).alias("above"), F.element_at("parts", d).alias("segment")).agg(F.sum("n").alias("n"))
         varies = here.groupBy("host", "above").agg(F.count("*").alias("values"), F.sum("n").alias("n")).where((F.col("values") >= MANY_VALUES) & (F.col("n") < URLS_A_VALUE * F.col("values"))).select("host", "above", F.lit(True).alias("varies"))
         table = table.withColumn("above", _prefix("parts", d - 1)).join(varies, ["host", "above"], "left")
         table = table.withColumn("general", F.when(F.col("varies") & (F.size("parts") >= d), F.transform("general", lambda s, i: F.when(i == d - 1, "*").otherwise(s))).otherwise(F.col("general"))).drop("above", "varies")  # noqa: B023
+        table = materialise(table, "general")  # plans stay small: the table of templates is
     return table
 
 
 def purity(table: DataFrame) -> DataFrame:
     """(host, template, purity): smoothed share of blocked examples of each template's place in the tree."""
-    total = table.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
+    total = table.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.max(F.size("general")).alias("deepest")).first()
     overall = ((total["b"] or 0) + 0.5) / ((total["l"] or 0) + 1.0)
     root = table.groupBy("host").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     root = root.select("host", ((F.col("b") + PRIOR_WEIGHT * F.lit(overall)) / (F.col("l") + PRIOR_WEIGHT)).alias("share"))
     table = table.join(root, "host")
-    for d in range(1, DEPTH + 1):
+    for d in range(1, min(DEPTH, total["deepest"] or 0) + 1):
         table = table.withColumn("above", _prefix("general", d - 1)).withColumn("branch", _prefix("general", d))
         nodes = table.where(F.size("general") >= d).groupBy("host", "above", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
         around = nodes.groupBy("host", "above").agg(F.sum("b").alias("all_b"), F.sum("l").alias("all_l"))
@@ -95,7 +98,7 @@ def purity(table: DataFrame) -> DataFrame:
         # shorter templates have no node here: their branch may read like a longer one's, so the size is checked below
         table = table.join(nodes, ["host", "branch"], "left")
         share = F.when(F.size("general") >= d, (F.col("use_b") + PRIOR_WEIGHT * F.col("share")) / (F.col("use_l") + PRIOR_WEIGHT)).otherwise(F.col("share"))
-        table = table.withColumn("share", share).drop("above", "branch", "use_b", "use_l")
+        table = materialise(table.withColumn("share", share).drop("above", "branch", "use_b", "use_l"), "shares")
     return table.select("host", "template", F.col("share").alias("purity"))
 
 
@@ -112,7 +115,7 @@ def judge(pages: DataFrame) -> DataFrame:
     counted = urls.groupBy("host", "template", F.col("ruled.verdict").alias("label")).agg(F.first("parts").alias("parts"), F.count("*").alias("n"))
     counted = counted.select("host", "template", "parts", "n", F.when(F.col("label") == "block", F.col("n")).otherwise(0).alias("blocked"), F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0).alias("labelled"))
     # a written table: its size is known, and decides between a broadcast and a join
-    shares = materialise(purity(materialise(generalised(counted), "general")), "purity")
+    shares = materialise(purity(generalised(counted)), "purity")
     out = urls.select("page_id", "host", "path", "ruled", "template").join(shares, ["host", "template"], "left")
     verdict = F.coalesce(F.col("ruled.verdict"), F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), verdict.alias("verdict"))
