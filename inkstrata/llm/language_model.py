@@ -31,8 +31,8 @@ from inkstrata.llm.common import id_remainder, materialise, text_of
 from inkstrata.llm.elias_fano import KEY_BITS, EliasFano, NgramTrie, share_of
 
 MU = 50.0
-BLOCK_TOKENS = 1_500_000
-SHARD_KEYS = 1_000_000
+BLOCK_TOKENS = 1_000_000
+SHARD_KEYS = 700_000
 #: Classes of next words by which a context's pairs are dealt to shards.
 SPLIT = 8
 #: The end token; no word contains white space.
@@ -73,21 +73,22 @@ class Block:
         self.ids: list[int | None] = []
         self.held: list[bool] = []
         self.lengths: list[int] = []
-        self.words: list[bytes] = []
+        self.hashes: list[np.ndarray] = []
+        self.size = 0
 
     def add(self, ident: int | None, held: bool, text: str) -> None:
         own = words(text)
         self.ids.append(ident)
         self.held.append(held)
-        self.lengths.append(len(own) + 1)
-        self.words += own
-        self.words.append(END)
+        own.append(END)
+        self.lengths.append(len(own))
+        self.size += len(own)
+        self.hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)) & _MASK)
 
     def encoded(self, number: int) -> tuple:
         import zstandard
 
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words)) & _MASK
-        vocabulary, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        vocabulary, inverse, counts = np.unique(np.concatenate(self.hashes), return_inverse=True, return_counts=True)
         order = np.argsort(-counts, kind="stable")  # common words get small numbers, which compress
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -111,7 +112,7 @@ def encode(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         for batch in batches:
             for ident, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
                 block.add(ident, held, text)
-                if len(block.words) >= block_tokens:
+                if block.size >= block_tokens:
                     yield row(block, number)
                     block, number = Block(), number + 1
         if block.ids:
@@ -174,7 +175,8 @@ def ask(blocks: DataFrame, unigram_shards: int, pair_shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 rows = list(Opened(row, unigram_shards, pair_shards).questions())
                 for at in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64], strict=True), types, strict=True)], names)
