@@ -13,7 +13,7 @@ the weighted Jaccard index of those multisets; documents linked at
    long as they are not yet in one component with them, with leaders picked by
    hash, and last with the members of other components of the bucket.  Every
    pair of a bucket is thus in one class already, or verified, or ruled out by
-   sketches of their signatures, which a linked pair fails once in 500 at worst.
+   sketches of their signatures, which a linked pair fails once in 200 at worst.
 4. Verification computes the exact similarity from the shingle hashes of candidates.
 5. Components grow by label propagation with pointer jumping on tables.
 """
@@ -37,7 +37,7 @@ BANDS = 32
 ROWS = 8
 #: Of each signature coordinate, 4 bits go into a sketch; documents of the least similarity differ in
 #: 48 of 256 places on average (deviation 6.2), so pairs that differ in more than this are not looked at.
-SKETCH_MOST = 66
+SKETCH_MOST = 64
 #: Leaders picked by hash after the first, before members of other components are compared one by one.
 EXTRA_ROUNDS = 2
 #: First leaders that a member is compared with: those it shares the most bands with.
@@ -224,11 +224,11 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label): for every node of the edges, the lowest id that it is linked with."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label")), "labels")
+    """(id, label): for every node of the edges (src, dst), the lowest id that it is linked with."""
+    both = materialise(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    labels = materialise(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("low")).select("id", F.least("id", "low").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        near = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
         moved = step.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("moved"))
@@ -238,8 +238,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b), a < b, that join the documents of each class; ``texts`` has doc_id, bands and sketch, one row per text."""
+def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels (id, label) after the new links (a, b): only the classes that a link joins are looked at again."""
+    of = lambda end, to: labels.select(F.col("id").alias(end), F.col("label").alias(to))
+    between = found.join(of("a", "src"), "a").join(of("b", "dst"), "b").where("src <> dst").select("src", "dst").distinct()
+    merged = components(between).select(F.col("id").alias("label"), F.col("label").alias("new"))
+    return materialise(labels.join(merged, "label", "left").select("id", F.coalesce("new", "label").alias("label")), "classes")
+
+
+def classes_of(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, label) of every document that shares a band with another: the lowest id of its class.
+
+    ``texts`` has doc_id, bands and sketch, one row per text.
+    """
     # dealt by bucket once: the counts and the join below share the exchange
     buckets = texts.select("doc_id", F.explode("bands").alias("bucket")).repartition("bucket")
     shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -251,11 +262,11 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     first = buckets.where("leader < doc_id").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))
     order = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
     first = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIRST_LEADERS).select("a", "b")
-    tried = materialise(first, "tried")
-    edges = materialise(verified(tried, sets), "links")
+    of = lambda end, to: marks.select(F.col("doc_id").alias(end), F.col("sketch").alias(to))
+    tried = materialise(first.join(of("a", "x"), "a").join(of("b", "y"), "b").where(F.expr(sketches_near("x", "y"))).select("a", "b"), "tried")
+    labels = joined(near.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label")), materialise(verified(tried, sets), "links"))
     for turn in range(EXTRA_ROUNDS + 1):
-        label = components(edges)
-        marked = buckets.select("bucket", "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        marked = buckets.select("bucket", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id")
         mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
         open_rows = marked.join(mixed, "bucket")
         own = open_rows.groupBy("doc_id").agg(F.collect_list("bucket").alias("own"))  # at most BANDS buckets
@@ -273,9 +284,9 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = open_rows.alias("x").join(lead.alias("y"), F.expr(f"x.bucket = y.bucket AND x.label <> y.label AND {sketches_near('x.sketch', 'y.sketch')}{once}"))
         fresh = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         fresh = materialise(fresh, "tried")
-        edges = materialise(edges.unionByName(verified(fresh, sets)), "links")
+        labels = joined(labels, materialise(verified(fresh, sets), "links"))
         tried = tried.unionByName(fresh)
-    return edges
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -288,8 +299,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table = materialise(signatures(docs), "signatures")
     # copies fold before they are shuffled; equal words have equal bands
     texts = materialise(table.groupBy("words").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("one")).select("words", "one.*"), "texts")
-    found = links(texts, docs)
-    label = components(found)
+    label = classes_of(texts, docs)
     classes = texts.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("words", F.col("doc_id").alias("copy_of"), F.coalesce("label", "doc_id").alias("class_id"))
     out = table.select("doc_id", "words").join(classes, "words").select("doc_id", "class_id", "copy_of")
     none = docs.where(F.col("doc_id").isNull()).select(*(F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id", "copy_of")))
