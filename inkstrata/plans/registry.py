@@ -1,10 +1,522 @@
-"""All registered queries of the library, and SQL with the same results."""
+"""All registered queries over the whole tables, and SQL that gives the same rows in a second engine.
+
+Tables of documents become layout tables by ``sources.layout``; what else an
+operator takes (automation rows, readings, colours) is derived from them by
+integer arithmetic, so that both engines see the same input.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkstrata.functions import geometry as G
+from inkstrata.functions import text as T
+from inkstrata.functions.dialect import DUCKDB as D
+from inkstrata.functions.labels import parse_label
+from inkstrata.operators import fusion, modes, placement, readings, row_splits, segmentation, styles, translation
+from inkstrata.sources import lexicon
+from inkstrata.sources.layout import LAYOUT_SQL, lines_of, table, words_of
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines_of(docs(spark, d))
+
+
+def words(spark: SparkSession, d: str) -> DataFrame:
+    return words_of(lines(spark, d))
+
+
+def kind_of(count: str, dialect=T.SPARK) -> str:  # noqa: ANN001
+    return f"CASE WHEN {count} <= 4 THEN 'UiLabel' ELSE {T.standalone_kind('text', dialect)} END"
+
+
+def rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as segments."""
+    return lines(spark, d).select("capture_id", F.col("line_ord").cast("int").alias("seg_ord"), "text", "left", "top", "width", "height", F.expr(kind_of("size(words)")).alias("kind"))
+
+
+def elements(spark: SparkSession, d: str) -> DataFrame:
+    """Every third word as an automation row, a little off."""
+    w = words(spark, d).where("word_ord % 3 = 0")
+    return w.select("capture_id", F.expr("CAST(line_ord * 10 + word_ord AS int)").alias("seg_ord"), "text", (F.col("left") + 2).alias("left"), (F.col("top") + 1).alias("top"), "width", "height", F.lit("UiLabel").alias("kind"))
+
+
+SEGMENTS_SQL = f'{LAYOUT_SQL},\nsegs AS (SELECT capture_id, line_ord::INTEGER AS seg_ord, text, "left", top, width, height, {kind_of("n", D)} AS kind FROM lines)'
+ELEMENTS_SQL = f"""{SEGMENTS_SQL},\nelements AS (SELECT capture_id, (line_ord * 10 + word_ord)::INTEGER AS seg_ord, text, "left" + 2 AS "left", top + 1 AS top, width, height, 'UiLabel' AS kind FROM words WHERE word_ord % 3 = 0)"""
+
+# --- text ------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {T.normalize('text', D)} AS text, {T.word_count(T.normalize('text', D), D)} AS words FROM documents")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).selectExpr("doc_id", f"{T.normalize('text')} AS text", f"{T.word_count(T.normalize('text'))} AS words")
+
+
+@query(f"SELECT doc_id, {T.guess_language('text', D)} AS language, {T.effective_language(chr(39) * 2, 'text', D)} AS effective FROM documents")
+def guess_language(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).selectExpr("doc_id", f"{T.guess_language('text')} AS language", f"{T.effective_language(chr(39) * 2, 'text')} AS effective")
+
+
+@query(f"SELECT doc_id, {T.response_score('text', 'len(string_split(text, chr(10)))', 'lang', D)} AS score FROM documents")
+def response_score(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).selectExpr("doc_id", f"{T.response_score('text', 'size(split(text, chr(10)))', 'lang')} AS score")
+
+
+@query(f"WITH {LAYOUT_SQL} SELECT capture_id, line_ord, {T.line_score('text', D)} AS score, {T.candidate_score('text', D)} AS candidate FROM lines")
+def line_scores(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).selectExpr("capture_id", "line_ord", f"{T.line_score('text')} AS score", f"{T.candidate_score('text')} AS candidate")
+
+
+@query(f"WITH {LAYOUT_SQL} SELECT capture_id, line_ord, {T.standalone_kind('text', D)} AS kind, {T.sentence_punctuation('text', D)} AS punctuated, {T.window_chrome('text', D)} AS chrome FROM lines")
+def line_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).selectExpr("capture_id", "line_ord", f"{T.standalone_kind('text')} AS kind", f"{T.sentence_punctuation('text')} AS punctuated", f"{T.window_chrome('text')} AS chrome")
+
+
+@query(f"WITH {LAYOUT_SQL} SELECT capture_id, count(*) AS words, count(*) FILTER ({T.header_word('text', D)}) AS headers, count(*) FILTER ({T.mixed_scripts('text', D)}) AS mixed, count(*) FILTER ({T.broken('text', D)}) AS broken FROM words GROUP BY capture_id")
+def word_classes(spark: SparkSession, d: str) -> DataFrame:
+    count = lambda e: F.count_if(F.expr(e))
+    return words(spark, d).groupBy("capture_id").agg(F.count("*").alias("words"), count(T.header_word("text")).alias("headers"), count(T.mixed_scripts("text")).alias("mixed"), count(T.broken("text")).alias("broken"))
+
+
+@query(f"SELECT conv_id, turn, {T.plain_key('text', D)} AS plain, {T.compact_key('text', D)} AS compact FROM conversations")
+def label_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{T.plain_key('text')} AS plain", f"{T.compact_key('text')} AS compact")
+
+
+_FIRST, _LAST = "replace({0}, 'ß', 'ss')".format("split(text, chr(10))[0]"), "replace(element_at(split(text, chr(10)), -1), 'ß', 'ss')"
+_FIRST_D, _LAST_D = "replace(string_split(text, chr(10))[1], 'ß', 'ss')", "replace(string_split(text, chr(10))[-1], 'ß', 'ss')"
+
+
+@query(f"SELECT doc_id, {T.case_style(_FIRST_D, _LAST_D, D)} AS styled, {T.inline_join(_FIRST_D, _LAST_D, D)} AS joined, {T.joins_without_space(_FIRST_D, _LAST_D, D)} AS tight FROM documents")
+def case_and_spacing(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).selectExpr("doc_id", f"{T.case_style(_FIRST, _LAST)} AS styled", f"{T.inline_join(_FIRST, _LAST)} AS joined", f"{T.joins_without_space(_FIRST, _LAST)} AS tight")
+
+
+# --- layout ----------------------------------------------------------------
+
+
+@query(f'WITH {LAYOUT_SQL} SELECT capture_id, line_ord, text, "left", top, width, height, n FROM lines')
+def layout_lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).select("capture_id", "line_ord", "text", "left", "top", "width", "height", F.size("words").cast("long").alias("n"))
+
+
+@query(f'WITH {LAYOUT_SQL} SELECT capture_id, min("left") AS "left", min(top) AS top, max("left" + width) - min("left") AS width, max(top + height) - min(top) AS height, count(*) AS lines FROM lines GROUP BY capture_id')
+def capture_bounds(spark: SparkSession, d: str) -> DataFrame:
+    right, bottom = F.max(F.col("left") + F.col("width")), F.max(F.col("top") + F.col("height"))
+    return lines(spark, d).groupBy("capture_id").agg(F.min("left").alias("left"), F.min("top").alias("top"), (right - F.min("left")).alias("width"), (bottom - F.min("top")).alias("height"), F.count("*").alias("lines"))
+
+
+@query(f"""WITH {LAYOUT_SQL}, region AS (SELECT capture_id, max("left" + width) - min("left") AS rw, max(top + height) - min(top) AS rh FROM lines GROUP BY capture_id)
+SELECT capture_id, line_ord FROM lines JOIN region USING (capture_id) WHERE NOT {T.skipped('text', 'width', 'height', 'rw', 'rh', D)}""")
+def readable_lines(spark: SparkSession, d: str) -> DataFrame:
+    all_lines = lines(spark, d)
+    region = all_lines.groupBy("capture_id").agg((F.max(F.col("left") + F.col("width")) - F.min("left")).alias("region_width"), (F.max(F.col("top") + F.col("height")) - F.min("top")).alias("region_height"))
+    return segmentation.readable(all_lines, region).select("capture_id", "line_ord")
+
+
+GAPS_SQL = f"""{LAYOUT_SQL},
+gaps AS (SELECT *, "left" - lag("left" + width) OVER (PARTITION BY capture_id, line_ord ORDER BY word_ord) AS gap, count(*) OVER (PARTITION BY capture_id, line_ord) AS n FROM words)"""
+
+
+@query(f"WITH {GAPS_SQL} SELECT capture_id, line_ord, count(*) FILTER (gap > 0) AS gaps, coalesce(median(gap) FILTER (gap > 0), 0) AS median_gap, min(gap) FILTER (gap > 0) AS least_gap, median(width) AS median_width FROM gaps WHERE n >= 2 GROUP BY capture_id, line_ord")
+def word_gaps(spark: SparkSession, d: str) -> DataFrame:
+    out = row_splits.with_word_measures(lines(spark, d).where("size(words) >= 2"))
+    return out.select("capture_id", "line_ord", F.expr("CAST(size(filter(gaps, g -> g > 0)) AS bigint)").alias("gaps"), "median_gap", "least_gap", "median_width")
+
+
+def _islands_sql(threshold: str, gate: str) -> str:
+    """Lines cut where a gap exceeds a threshold, if a gate on the parts holds."""
+    return f"""WITH {GAPS_SQL},
+measured AS (SELECT *, lag(width) OVER (PARTITION BY capture_id, line_ord ORDER BY word_ord) AS last_width, median(height) OVER (PARTITION BY capture_id, line_ord) AS mh FROM gaps WHERE n BETWEEN 2 AND 10),
+numbered AS (SELECT *, sum(CASE WHEN gap > {threshold} THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id, line_ord ORDER BY word_ord) AS part FROM measured),
+parts AS (SELECT capture_id, line_ord, part, string_agg(text, ' ' ORDER BY word_ord) AS text, min("left") AS "left", max("left" + width) - min("left") AS width, count(*) AS size FROM numbered GROUP BY capture_id, line_ord, part)
+SELECT capture_id, line_ord, part::INTEGER AS part, text, "left", width FROM parts QUALIFY {gate}"""
+
+
+_OVER = "OVER (PARTITION BY capture_id, line_ord)"
+
+
+@query(_islands_sql("greatest(18, 1.15 * height, 0.65 * least(width, last_width))", f"count(*) {_OVER} BETWEEN 2 AND 6 AND max(size) {_OVER} <= 2 AND max(length(text)) {_OVER} <= 22"))
+def sparse_rows(spark: SparkSession, d: str) -> DataFrame:
+    return row_splits.lines_from(row_splits.sparse_row(row_splits.with_word_measures(lines(spark, d)))).select("capture_id", "line_ord", "part", "text", "left", "width")
+
+
+@query(_islands_sql("greatest(8, round_even(0.6 * mh, 0))", f"count(*) {_OVER} >= 1"))
+def label_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return row_splits.lines_from(row_splits.label_boxes(row_splits.with_word_measures(lines(spark, d)))).select("capture_id", "line_ord", "part", "text", "left", "width")
+
+
+@query()
+def structured_rows(spark: SparkSession, d: str) -> DataFrame:
+    return row_splits.lines_from(row_splits.structured_row(row_splits.with_word_measures(lines(spark, d)))).drop("words")
+
+
+@query()
+def single_token_rows(spark: SparkSession, d: str) -> DataFrame:
+    return row_splits.lines_from(row_splits.single_token_row(row_splits.with_word_measures(lines(spark, d)))).drop("words")
+
+
+@query()
+def split_rows(spark: SparkSession, d: str) -> DataFrame:
+    return row_splits.split_rows(lines(spark, d)).drop("words")
+
+
+@query()
+def merged_rows(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.merged_rows(lines(spark, d)).drop("words")
+
+
+@query()
+def paragraph_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.blocks(rows(spark, d).withColumnRenamed("seg_ord", "line_ord"))
+
+
+@query()
+def layout_segments(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.segments(lines(spark, d))
+
+
+@query()
+def segmentation_modes(spark: SparkSession, d: str) -> DataFrame:
+    return modes.capture_modes(segmentation.segments(lines(spark, d)))
+
+
+# --- labels ----------------------------------------------------------------
+
+#: Some words of the corpus become labels with slips of recognition: a letter doubled, dropped, or look-alike.
+_LABEL_ARRAY = "array(" + ", ".join(f"'{x}'" for x in lexicon.LABELS) + ")"
+_SLIP = "CASE {n} % 4 WHEN 0 THEN l WHEN 1 THEN concat(l, substring(l, length(l), 1)) WHEN 2 THEN translate(l, 'aeoc', 'аеос') ELSE concat(substring(l, 1, length(l) - 2), substring(l, length(l), 1)) END"
+
+
+def slipped(spark: SparkSession, d: str) -> DataFrame:
+    w = words(spark, d).where("(7 * capture_id + line_ord + word_ord) % 5 = 0").withColumn("n", F.expr("capture_id + 3 * line_ord + word_ord"))
+    return w.withColumn("l", F.expr(f"{_LABEL_ARRAY}[CAST(n % {len(lexicon.LABELS)} AS int)]")).select("capture_id", "line_ord", "word_ord", F.expr(_SLIP.format(n="n")).alias("text"))
+
+
+_LEXICON_SQL = "lexicon(ord, label, compact) AS (" + lexicon.values_sql([(i, x, lexicon.compact(x)) for i, x in enumerate(lexicon.LABELS)]) + ")"
+
+
+@query(f"""WITH {LAYOUT_SQL}, {_LEXICON_SQL},
+picked AS (SELECT capture_id, line_ord, word_ord, capture_id + 3 * line_ord + word_ord AS n FROM words WHERE (7 * capture_id + line_ord + word_ord) % 5 = 0),
+typed AS (SELECT p.*, {_SLIP.format(n='n')} AS text FROM (SELECT picked.*, lexicon.label AS l FROM picked JOIN lexicon ON lexicon.ord = n % {len(lexicon.LABELS)}) p),
+keyed AS (SELECT DISTINCT text, {T.plain_key('text', D)} AS spaced, replace({T.plain_key('text', D)}, ' ', '') AS key FROM typed),
+fits AS (SELECT text, label, ord, levenshtein(key, compact) AS dist FROM keyed, lexicon WHERE key <> '' AND length(spaced) <= 18 AND (key = compact OR (key[1] = compact[1] AND (length(key) <= 4 OR length(compact) <= 4 OR key[1:2] = compact[1:2])
+    AND abs(length(key) - length(compact)) <= greatest(2, 1 + CASE WHEN length(compact) <= 3 THEN 0 WHEN length(compact) <= 4 THEN 1 WHEN length(compact) <= 8 THEN 2 ELSE 3 END)
+    AND levenshtein(key, compact) <= CASE WHEN length(compact) <= 3 THEN 0 WHEN length(compact) <= 4 THEN 1 WHEN length(compact) <= 8 THEN 2 ELSE 3 END))),
+best AS (SELECT text, arg_min(label, dist * 1000 + ord) AS label FROM fits GROUP BY text)
+SELECT capture_id, line_ord, word_ord, typed.text, label FROM typed LEFT JOIN best USING (text)""")
+def fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct text is matched once; texts and their labels meet again by text."""
+    typed = slipped(spark, d)
+    matched = typed.select("text").distinct().withColumn("label", F.expr(f"{parse_label('text')}.label"))
+    return typed.join(matched, "text").select("capture_id", "line_ord", "word_ord", "text", "label")
+
+
+# --- capture decisions -----------------------------------------------------
+
+_SHORT_D = f"(width > 0 AND height > 0 AND kind <> 'Paragraph' AND {T.has_letter('text', D)} AND {T.word_count(T.normalize('text', D), D)} <= 4 AND length({T.normalize('text', D)}) <= 36 AND height <= 42)"
+
+
+@query(f"""WITH {SEGMENTS_SQL}, marked AS (SELECT *, {_SHORT_D} AS short, round(top + height / 2) AS anchor FROM segs),
+dense AS (SELECT capture_id, max(c) >= 4 AS dense_row FROM (SELECT capture_id, anchor, count(*) AS c FROM marked WHERE short GROUP BY ALL) GROUP BY capture_id),
+counts AS (SELECT capture_id, count(*) AS n, count(*) FILTER (kind = 'Paragraph') AS paragraphs, count(*) FILTER (kind = 'TextLine') AS lines, count(*) FILTER (kind = 'UiLabel') AS labels, count(*) FILTER (short) AS short, median(height) AS median_height FROM marked GROUP BY capture_id)
+SELECT *, {modes.MODE} AS mode FROM (SELECT counts.*, coalesce(dense_row, false) AS dense_row FROM counts LEFT JOIN dense USING (capture_id))""")
+def capture_modes(spark: SparkSession, d: str) -> DataFrame:
+    return modes.capture_modes(rows(spark, d))
+
+
+@query(f"""WITH {SEGMENTS_SQL}, s AS (SELECT * FROM segs WHERE {_SHORT_D})
+SELECT a.capture_id, a.seg_ord, count(b.seg_ord) AS others, count(b.seg_ord) >= 3 AS dense FROM s a LEFT JOIN s b ON a.capture_id = b.capture_id AND a.seg_ord <> b.seg_ord AND {G.same_row('a', 'b')} GROUP BY a.capture_id, a.seg_ord""")
+def dense_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return modes.dense_neighbours(rows(spark, d))
+
+
+@query()
+def automation_policy(spark: SparkSession, d: str) -> DataFrame:
+    return modes.automation_policy(rows(spark, d))
+
+
+# --- fusion ----------------------------------------------------------------
+
+
+@query(f"WITH {ELEMENTS_SQL} SELECT p.capture_id, p.seg_ord AS p_ord, a.seg_ord AS a_ord FROM segs p JOIN elements a ON p.capture_id = a.capture_id AND {G.related('p', 'a', D)}")
+def related_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.related_pairs(rows(spark, d), elements(spark, d))
+
+
+@query(f"""WITH {ELEMENTS_SQL}, scored_p AS (SELECT *, {T.line_score('text', D)} AS score FROM segs WHERE kind <> 'Paragraph'), scored_a AS (SELECT *, {T.line_score('text', D)} AS score FROM elements)
+SELECT p.capture_id, p.seg_ord AS p_ord FROM scored_p p JOIN scored_a a ON p.capture_id = a.capture_id AND {G.related('p', 'a', D)} GROUP BY p.capture_id, p.seg_ord
+HAVING count(*) >= 2 OR bool_or(upper(p.text) <> upper(a.text) AND {G.coverage('p', 'a', D)} >= 0.28 AND (a.score >= p.score OR p.width > 1.45 * a.width))""")
+def suppressed_rows(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.suppressed(rows(spark, d), elements(spark, d))
+
+
+@query()
+def fused_rows(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.fuse(rows(spark, d), elements(spark, d))
+
+
+@query()
+def uncovered_elements(spark: SparkSession, d: str) -> DataFrame:
+    again = elements(spark, d).where("seg_ord % 2 = 0").withColumn("seg_ord", F.col("seg_ord") + 1).withColumn("left", F.col("left") + 1)
+    return fusion.drop_covered(elements(spark, d).unionByName(again).drop("kind"))
+
+
+def second_reading(spark: SparkSession, d: str) -> DataFrame:
+    """The same lines as another recogniser might see them."""
+    l = lines(spark, d).drop("words")  # noqa: E741
+    return l.withColumn("left", F.expr("left + line_ord % 7")).withColumn("text", F.expr("CASE WHEN line_ord % 3 = 0 THEN concat(text, ' @') ELSE text END"))
+
+
+@query(f"""WITH {LAYOUT_SQL}, again AS (SELECT capture_id, line_ord, CASE WHEN line_ord % 3 = 0 THEN concat(text, ' @') ELSE text END AS text, "left" + line_ord % 7 AS "left", top, width, height FROM lines)
+SELECT a.capture_id, a.line_ord AS a_ord, b.line_ord AS b_ord FROM lines a JOIN again b ON a.capture_id = b.capture_id AND ({G.shared_area('a', 'b', D)} / least(greatest(1, a.width * a.height), greatest(1, b.width * b.height)) >= 0.55
+    OR (abs({G.middle('a')} - {G.middle('b')}) <= greatest(4, 0.45 * least(a.height, b.height)) AND abs(a."left" - b."left") <= greatest(12, 0.25 * least(a.width, b.width)) AND upper(trim(a.text)) = upper(trim(b.text))))""")
+def same_lines(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.same_line_pairs(lines(spark, d).drop("words"), second_reading(spark, d))
+
+
+@query()
+def merged_responses(spark: SparkSession, d: str) -> DataFrame:
+    both = lines(spark, d).drop("words").withColumn("rank", F.lit(0)).unionByName(second_reading(spark, d).withColumn("rank", F.lit(1)))
+    return fusion.merge_responses(both)
+
+
+@query(f"""WITH {GAPS_SQL}, boxes AS (SELECT capture_id, line_ord, k AS box_ord, "left" + width * k / 3 AS "left", top, width / 3 AS width, height FROM lines, (VALUES (0), (1), (2)) AS v(k))
+SELECT w.capture_id, w.line_ord, w.word_ord, b.box_ord FROM words w JOIN boxes b ON w.capture_id = b.capture_id AND w.line_ord = b.line_ord AND ({G.coverage('w', 'b', D)} >= 0.25 OR {G.center_inside('b', 'w', D)})""")
+def words_in_boxes(spark: SparkSession, d: str) -> DataFrame:
+    boxes = lines(spark, d).select("capture_id", "line_ord", F.expr("explode(array(0, 1, 2))").alias("box_ord"), "left", "top", "width", "height")
+    boxes = boxes.withColumn("left", F.expr("left + width * box_ord / 3")).withColumn("width", F.expr("width / 3"))
+    return fusion.words_in_boxes(words(spark, d), boxes)
+
+
+# --- readings --------------------------------------------------------------
+
+
+def votes(spark: SparkSession, d: str) -> DataFrame:
+    """Each line's first words as an original with four readings: as it is, spaced out, shortened, doubled."""
+    first = lines(spark, d).select(F.concat_ws(":", "capture_id", "line_ord").alias("case_id"), F.expr("split(text, ' ')[0]").alias("original"))
+    return first.select("case_id", "original", F.posexplode(F.expr("array(concat(substring(original, 1, 1), ' ', substring(original, 2)), original, substring(original, 1, length(original) - 1), concat(substring(original, 1, 1), ' ', substring(original, 2)))")).alias("cand_ord", "text"))
+
+
+VOTES_SQL = f"""{LAYOUT_SQL},
+originals AS (SELECT concat_ws(':', capture_id, line_ord) AS case_id, text AS original FROM words WHERE word_ord = 0),
+votes AS (SELECT case_id, {T.normalize('original', D)} AS original, idx, {T.label_text('reading', D)} AS text FROM (SELECT case_id, original, unnest(range(4)) AS idx,
+    unnest([concat(substring(original, 1, 1), ' ', substring(original, 2)), original, substring(original, 1, length(original) - 1), concat(substring(original, 1, 1), ' ', substring(original, 2))]) AS reading FROM originals)),
+usable AS (SELECT *, {T.compact_key('text', D)} AS key FROM votes WHERE text <> '' AND {T.compact_key('text', D)} <> ''),
+missing AS (SELECT case_id, original, -1 AS idx, {T.label_text('original', D)} AS text, {T.compact_key('original', D)} AS key FROM usable GROUP BY case_id, original HAVING NOT bool_or(upper(text) = upper(original)) AND original <> '' AND {T.compact_key('original', D)} <> ''),
+cands AS (SELECT *, {T.candidate_score('text', D)} AS score, length(text) - length(replace(text, ' ', '')) AS spaces FROM (SELECT * FROM usable UNION ALL SELECT * FROM missing)),
+groups AS (SELECT case_id, key, count(*) AS support, max(score) AS top, min(idx) AS first, 36 * count(*) + max(score) + avg(score) / 3.0 + CASE WHEN bool_or(upper(text) = upper(original)) THEN 4 ELSE 0 END AS rank,
+    (list(text ORDER BY score DESC, spaces, idx))[1] AS best FROM cands GROUP BY case_id, key)"""
+
+
+@query(f"WITH {VOTES_SQL}, won AS (SELECT case_id, (list(best ORDER BY rank DESC, first))[1] AS choice FROM groups GROUP BY case_id) SELECT case_id, coalesce(choice, {T.normalize('original', D)}) AS choice FROM originals LEFT JOIN won USING (case_id)")
+def voted_readings(spark: SparkSession, d: str) -> DataFrame:
+    return readings.winners(votes(spark, d))
+
+
+@query(f"WITH {VOTES_SQL} SELECT case_id, (list(best ORDER BY top DESC, first))[1] AS choice FROM groups WHERE support >= 2 AND top >= 18 GROUP BY case_id")
+def agreed_readings(spark: SparkSession, d: str) -> DataFrame:
+    return readings.consensus(votes(spark, d))
+
+
+@query()
+def refinement_gates(spark: SparkSession, d: str) -> DataFrame:
+    segs = rows(spark, d).withColumn("source_lines", F.lit(1)).withColumn("mode", F.expr("element_at(array('DocumentLike', 'Mixed', 'UiDense'), CAST(capture_id % 3 AS int) + 1)"))
+    return segs.selectExpr("capture_id", "seg_ord", f"{readings.ENSEMBLE} AS ensemble", f"{readings.refinable()} AS refine", f"{readings.splittable()} AS split", f"{readings.split_kind()} AS split_kind")
+
+
+@query()
+def adopted_readings(spark: SparkSession, d: str) -> DataFrame:
+    seen = slipped(spark, d).withColumn("original", F.concat(F.col("text"), F.lit(" #"))).withColumnRenamed("text", "candidate").withColumn("kind", F.lit("UiLabel"))
+    return seen.select("capture_id", "line_ord", "word_ord", F.expr(readings.adopted()).alias("adopt"))
+
+
+_AGAIN_D = f"({T.compact_key('source', D)} = {T.compact_key('translated', D)} OR ({T.compact_key('source', D)} <> '' AND {T.compact_key('translated', D)} <> '' AND 1 - levenshtein({T.compact_key('source', D)}, {T.compact_key('translated', D)}) / greatest(length({T.compact_key('source', D)}), length({T.compact_key('translated', D)})) >= 0.84))"
+
+
+@query(f"""WITH {LAYOUT_SQL}, ascii AS (SELECT capture_id, line_ord, word_ord, regexp_replace(text, '[^ -~]', 'q', 'g') AS text FROM words),
+pairs AS (SELECT capture_id, line_ord, word_ord, text AS source, coalesce(lead(text) OVER (PARTITION BY capture_id, line_ord ORDER BY word_ord), text) AS translated FROM ascii)
+SELECT capture_id, line_ord, word_ord, (word_ord % 2 = 0 AND length(source) <= 22 AND {T.has_letter('source', D)} AND {_AGAIN_D}) AS again FROM pairs""")
+def doubtful_labels(spark: SparkSession, d: str) -> DataFrame:
+    # the second engine's edit distance counts bytes: the input is made of one-byte letters
+    ascii_lines = lines(spark, d).withColumn("words", F.expr("transform(words, w -> named_struct('text', regexp_replace(w.text, '[^ -~]', 'q')))"))
+    pairs = ascii_lines.select("capture_id", "line_ord", F.posexplode(F.expr("transform(words, (w, i) -> named_struct('source', w.text, 'translated', coalesce(try_element_at(words, i + 2).text, w.text)))")).alias("word_ord", "p")).select("capture_id", "line_ord", "word_ord", "p.*")
+    return pairs.withColumn("is_dense", F.expr("word_ord % 2 = 0")).select("capture_id", "line_ord", "word_ord", F.expr(readings.read_again()).alias("again"))
+
+
+@query("""WITH scored AS (SELECT user_id AS capture_id, event_type AS language, event_id AS variant, (value * 7)::INTEGER AS score FROM events),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY capture_id, language ORDER BY score DESC, variant) AS nth, max(score) OVER (PARTITION BY capture_id, language) AS best FROM scored),
+by_language AS (SELECT capture_id, language, max(best) AS best, max(variant) FILTER (nth = 1) AS variant, coalesce(bool_or(nth = 2 AND score >= best - 28), false) AS merge FROM ranked WHERE nth <= 2 GROUP BY capture_id, language)
+SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY best DESC, language) = 1 AS chosen FROM by_language""")
+def chosen_responses(spark: SparkSession, d: str) -> DataFrame:
+    scored = table(spark, d, "events").select(F.col("user_id").alias("capture_id"), F.col("event_type").alias("language"), F.col("event_id").alias("variant"), F.rint(F.col("value") * 7).cast("int").alias("score"))
+    return readings.best_responses(scored)
+
+
+# --- looks -----------------------------------------------------------------
+
+
+@query(f"""WITH {SEGMENTS_SQL}, looks AS (SELECT capture_id, seg_ord, kind, 1 + seg_ord % 3 AS source_line_count, (7 * capture_id + seg_ord) % 40 AS deviation, (seg_ord * 37) % 256 AS r, (seg_ord * 59) % 256 AS g, (seg_ord * 83) % 256 AS b FROM segs)
+SELECT capture_id, seg_ord, {styles.opacity()} AS opacity, CASE WHEN 0.299 * r + 0.587 * g + 0.114 * b < 140 THEN 'light' ELSE 'dark' END AS ink FROM looks""")
+def backgrounds(spark: SparkSession, d: str) -> DataFrame:
+    looks = rows(spark, d).selectExpr("capture_id", "seg_ord", "kind", "1 + seg_ord % 3 AS source_line_count", "(7 * capture_id + seg_ord) % 40 AS deviation", "named_struct('r', (seg_ord * 37) % 256, 'g', (seg_ord * 59) % 256, 'b', (seg_ord * 83) % 256) AS bg")
+    return looks.selectExpr("capture_id", "seg_ord", f"{styles.opacity()} AS opacity", f"{styles.text_on('bg')} AS ink")
+
+
+@query()
+def resolved_styles(spark: SparkSession, d: str) -> DataFrame:
+    color = "named_struct('r', CAST(90 + seg_ord % 5 * 9 AS int), 'g', CAST(100 + seg_ord % 7 * 5 AS int), 'b', CAST(110 + seg_ord % 3 * 40 AS int))"
+    seen = rows(spark, d).selectExpr(
+        "capture_id AS group_id", "seg_ord AS ord", "kind", "height", "CAST(12 + seg_ord % 3 AS double) AS font", "named_struct('r', 20, 'g', 20, 'b', 24) AS bg", "named_struct('r', 248, 'g', 250, 'b', 252) AS default_fg", "false AS has_runs",
+        f"CASE WHEN seg_ord % 11 <> 0 THEN named_struct('color', {color}, 'contrast', CAST(45 + seg_ord % 60 AS double), 'changed', (1 + seg_ord % 30) / 100D, 'dominant', (45 + seg_ord % 50) / 100D, 'deviation', CAST(10 + seg_ord % 60 AS double)) END AS sample",
+    )
+    return styles.styled(seen).selectExpr("group_id", "ord", "round(sure, 9) AS sure", "resolved", "color.r AS r", "color.g AS g", "color.b AS b")
+
+
+def styled_words(spark: SparkSession, d: str) -> DataFrame:
+    w = words(spark, d).withColumn("word_idx", F.expr("line_ord * 10 + word_ord"))
+    return w.selectExpr("concat_ws(':', capture_id, line_ord) AS capture_id", "line_ord", "word_idx", "text", "left", "top", "width", "height", "(length(text) % 3 = 0) AS colored", "(length(text) % 4 = 0) AS bold", "named_struct('r', CAST(length(text) * 9 % 256 AS int), 'g', 100, 'b', 90) AS color")
+
+
+ISLANDS_SQL = f"""{LAYOUT_SQL},
+looked AS (SELECT concat_ws(':', capture_id, line_ord) AS capture_id, line_ord, line_ord * 10 + word_ord AS word_idx, "left", top, width, height, length(text) % 3 = 0 AS colored, length(text) % 4 = 0 AS bold, length(text) * 9 % 256 AS r FROM words),
+near AS (SELECT *, lag(word_idx) OVER w AS li, lag(colored) OVER w AS lc, lag(bold) OVER w AS lb, lag(r) OVER w AS lr FROM looked WHERE colored OR bold WINDOW w AS (PARTITION BY capture_id ORDER BY word_idx)),
+cut AS (SELECT *, sum(CASE WHEN word_idx = li + 1 AND colored = lc AND bold = lb AND (NOT colored OR abs(r - lr) <= 72) THEN 0 ELSE 1 END) OVER (PARTITION BY capture_id ORDER BY word_idx) AS fragment FROM near)"""
+
+
+@query(f'WITH {ISLANDS_SQL} SELECT capture_id, fragment::BIGINT AS fragment, min(line_ord) AS line_ord, min(word_idx) AS first, max(word_idx) AS last, min("left") AS "left", min(top) AS top, max("left" + width) - min("left") AS width, max(top + height) - min(top) AS height, bool_or(colored) AS colored, bool_or(bold) AS bold FROM cut GROUP BY capture_id, fragment')
+def styled_islands(spark: SparkSession, d: str) -> DataFrame:
+    return styles.styled_islands(styled_words(spark, d))
+
+
+def fragments(spark: SparkSession, d: str) -> DataFrame:
+    sizes = styled_words(spark, d).groupBy("capture_id").agg(F.count("*").alias("n"), F.count_distinct("line_ord").alias("lines"))
+    return styles.kept_fragments(styles.styled_islands(styled_words(spark, d)), sizes)
+
+
+@query()
+def kept_fragments(spark: SparkSession, d: str) -> DataFrame:
+    return fragments(spark, d).select("capture_id", "fragment", "first", "last", "words", "colored", "bold")
+
+
+# --- translation -----------------------------------------------------------
+
+
+@query()
+def dictionary_translations(spark: SparkSession, d: str) -> DataFrame:
+    typed = slipped(spark, d)
+    once = typed.select("text").distinct().withColumn("translated", F.expr(translation.dictionary("text")))
+    return typed.join(once, "text").select("capture_id", "line_ord", "word_ord", "text", "translated")
+
+
+_TEXT_D = f"{T.normalize('text', D)}"
+
+
+@query(f"""WITH turns AS (SELECT conv_id, turn, {_TEXT_D} AS text, coalesce({T.guess_language(_TEXT_D, D)}, '') AS src, CASE WHEN turn % 3 = 0 THEN 'en' ELSE 'ru' END AS tgt FROM conversations),
+answered AS (SELECT *, CASE WHEN text = '' THEN '' WHEN lower(src) = lower(tgt) THEN text ELSE {T.case_style('text', "CASE WHEN conv_id % 2 = 0 AND turn = 0 THEN concat('cached ', text) ELSE concat('[fallback] ', text) END", D)} END AS translated FROM
+    (SELECT t.* EXCLUDE (conv_id, turn), t.conv_id AS c, t.turn AS u, (c2.text IS NOT NULL)::INTEGER AS hit, CASE WHEN c2.text IS NOT NULL THEN 0 ELSE 1 END AS conv_id, 0 AS turn FROM turns t LEFT JOIN (SELECT DISTINCT text, src, tgt FROM turns WHERE conv_id % 2 = 0 AND turn = 0) c2 ON t.text = c2.text AND t.src = c2.src AND t.tgt = c2.tgt))
+SELECT c AS conv_id, u AS turn, src, tgt, replace(translated, 'ẞ', 'SS') AS translated FROM answered""")
+def cached_translations(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lit(None).cast("string").alias("src"), F.expr("CASE WHEN turn % 3 = 0 THEN 'en' ELSE 'ru' END").alias("tgt"))
+    seen = turns.where("conv_id % 2 = 0 AND turn = 0").withColumn("text", F.expr(T.normalize("text"))).withColumn("src", F.expr(f"coalesce({T.guess_language('text')}, '')"))
+    cache = seen.select("src", "tgt", "text").distinct().withColumn("translated", F.concat(F.lit("cached "), "text"))
+    out, _ = translation.translate(turns, cache, dictionaries=False)
+    return out.select("conv_id", "turn", "src", "tgt", "translated")
+
+
+@query("""WITH uses AS (SELECT event_type AS src, 'ru' AS tgt, props AS text, max(event_id) AS step FROM events GROUP BY ALL) SELECT * FROM uses ORDER BY step DESC LIMIT 512""")
+def recent_cache(spark: SparkSession, d: str) -> DataFrame:
+    uses = table(spark, d, "events").select(F.col("event_type").alias("src"), F.lit("ru").alias("tgt"), F.col("props").alias("text"), F.col("event_id").alias("step"))
+    return translation.least_recent(uses)
+
+
+@query()
+def marker_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Styled words marked, translated by the demonstrator, and parsed into runs again."""
+    own = fragments(spark, d).select("capture_id", F.col("fragment").cast("int").alias("id"), "first", "last", "colored", "bold")
+    marked = translation.marked_text(styled_words(spark, d).select("capture_id", "word_idx", "text"), own)
+    return translation.inline_runs(marked.withColumn("text", F.concat(F.lit("[fallback] "), "text")), own)
+
+
+# --- placement -------------------------------------------------------------
+
+
+@query(f"""WITH {SEGMENTS_SQL}, padded AS (SELECT *, least(18, greatest(1, round_even(height * CASE WHEN kind = 'UiLabel' THEN 0.18 ELSE 0.28 END, 0))) AS px, least(14, greatest(1, round_even(height * CASE WHEN kind = 'UiLabel' THEN 0.12 ELSE 0.18 END, 0))) AS py FROM segs),
+edges AS (SELECT capture_id, seg_ord, greatest(0, "left" - px)::DOUBLE AS x0, greatest(0, top - py)::DOUBLE AS y0, least(1200, "left" + width + px)::DOUBLE AS x1, least(100000000, top + height + py)::DOUBLE AS y1 FROM padded)
+SELECT * FROM edges WHERE x1 > x0 AND y1 > y0""")
+def paint_masks(spark: SparkSession, d: str) -> DataFrame:
+    return placement.masks(rows(spark, d), "1200D", "100000000D").select("capture_id", "seg_ord", "x0", "y0", "x1", "y1")
+
+
+@query(f"""WITH {SEGMENTS_SQL}, padded AS (SELECT *, least(16, greatest(4, round_even(0.55 * height, 0))) AS px, least(12, greatest(3, round_even(0.4 * height, 0))) AS py FROM segs)
+SELECT capture_id, seg_ord, floor(greatest(0, "left" - px))::BIGINT AS x0, floor(greatest(0, top - py))::BIGINT AS y0, ceil("left" + width + px)::BIGINT AS x1, ceil(top + height + py)::BIGINT AS y1 FROM padded""")
+def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return placement.crops(rows(spark, d), "split").select("capture_id", "seg_ord", F.col("crop_left").alias("x0"), F.col("crop_top").alias("y0"), F.col("crop_right").alias("x1"), F.col("crop_bottom").alias("y1"))
+
+
+@query()
+def overlay_boxes(spark: SparkSession, d: str) -> DataFrame:
+    shown = rows(spark, d).select("capture_id", F.col("seg_ord").alias("line_ord"), F.col("text").alias("source_text"), F.concat(F.lit("[fallback] "), "text").alias("translated"), "left", "top", "width", "height", "kind", F.lit(1).alias("source_lines"))
+    return placement.placements(shown, 1200.0, 1e8)
+
+
+# --- logs and settings -----------------------------------------------------
+
+
+@query("""SELECT user_id AS capture_id, event_type AS phase, sum(value) FILTER (value > 0) AS spent, count(*) FILTER (value > 0) AS times FROM events GROUP BY ALL HAVING count(*) FILTER (value > 0) > 0""")
+def phase_times(spark: SparkSession, d: str) -> DataFrame:
+    from inkstrata.operators import traces
+
+    return traces.phase_times(table(spark, d, "events").select(F.col("user_id").alias("capture_id"), F.col("event_type").alias("phase"), F.col("value").alias("spent")))
+
+
+@query("SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def last_traces(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "user_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
+
+
+@query("SELECT event_type AS name, user_id AS handle, count(*) AS seen FROM events GROUP BY event_type, user_id QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) = 1")
+def topmost_windows(spark: SparkSession, d: str) -> DataFrame:
+    from inkstrata.operators import traces
+
+    return traces.most_frequent(table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("user_id").alias("handle")))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def bridge_requests(spark: SparkSession, d: str) -> DataFrame:
+    from inkstrata.sources import settings
+
+    return settings.parsed(table(spark, d, "events").select("event_id", "props"), "props", "k bigint").select("event_id", "request.k")
+
+
+@query("SELECT side, ord, code, name FROM (" + lexicon.values_sql([(s, i, c, n) for s, of in (("source", lexicon.SOURCE_LANGUAGES), ("target", lexicon.TARGET_LANGUAGES)) for i, (c, n) in enumerate(of)]) + ") AS v(side, ord, code, name)")
+def languages(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.languages(spark)
+
+
+@query(f"SELECT doc_id, {T.bridge_code('lang', 'en')} AS bridge, {T.language_family('lang')} AS family, {T.language_tag('lang')} AS tag, name FROM documents LEFT JOIN (" + lexicon.values_sql(list(lexicon.SOURCE_LANGUAGES)) + ") AS v(code, name) ON lower(code) = lower(lang)")
+def document_languages(spark: SparkSession, d: str) -> DataFrame:
+    names = lexicon.languages(spark).where("side = 'source'").select("code", "name")
+    rows_ = docs(spark, d).selectExpr("doc_id", "lang", f"{T.bridge_code('lang', 'en')} AS bridge", f"{T.language_family('lang')} AS family", f"{T.language_tag('lang')} AS tag")
+    return rows_.join(F.broadcast(names), F.lower("code") == F.lower("lang"), "left").drop("lang", "code")
