@@ -38,8 +38,8 @@ ROWS = 8
 #: Of each signature coordinate, 4 bits go into a sketch; documents of the least similarity differ in
 #: 48 of 256 places on average (deviation 6.2), so pairs that differ in more than this are not looked at.
 SKETCH_MOST = 64
-#: Leaders picked by hash after the first, before members of other components are compared one by one.
-EXTRA_ROUNDS = 2
+#: Rounds with a leader picked by hash, before members of other components are compared one by one.
+EXTRA_ROUNDS = 1
 #: First leaders that a member is compared with: those it shares the most bands with.
 FIRST_LEADERS = 2
 
@@ -262,20 +262,20 @@ def classes_of(texts: DataFrame, docs: DataFrame) -> DataFrame:
     first = buckets.where("leader < doc_id").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))
     order = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
     first = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIRST_LEADERS).select("a", "b")
-    of = lambda end, to: marks.select(F.col("doc_id").alias(end), F.col("sketch").alias(to))
-    tried = materialise(first.join(of("a", "x"), "a").join(of("b", "y"), "b").where(F.expr(sketches_near("x", "y"))).select("a", "b"), "tried")
+    tried = materialise(first, "tried")
     labels = joined(near.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label")), materialise(verified(tried, sets), "links"))
     for turn in range(EXTRA_ROUNDS + 1):
         marked = buckets.select("bucket", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id")
         mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        open_rows = marked.join(mixed, "bucket")
-        own = open_rows.groupBy("doc_id").agg(F.collect_list("bucket").alias("own"))  # at most BANDS buckets
-        open_rows = materialise(open_rows.join(own, "doc_id").join(marks, "doc_id").select("bucket", "doc_id", "label", "own", "sketch"), "mixed")
+        open_rows = marked.join(mixed, "bucket").join(marks, "doc_id").select("bucket", "doc_id", "label", "sketch")
         if turn < EXTRA_ROUNDS:
-            pick = F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn)).alias("h"), "doc_id", "label", "own", "sketch")
+            open_rows = materialise(open_rows, "mixed")
+            pick = F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn)).alias("h"), "doc_id", "label", "sketch")
             lead = open_rows.groupBy("bucket").agg(F.min(pick).alias("lead")).select("bucket", "lead.*").drop("h")
         else:
             # the members outside a bucket's largest component against all of other components
+            own = Window.partitionBy("doc_id")  # at most BANDS buckets
+            open_rows = materialise(open_rows.withColumn("own", F.collect_list("bucket").over(own)), "mixed")
             size = open_rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
             main = size.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
             lead = open_rows.join(main, "bucket").where("label <> main").drop("main")

@@ -1,0 +1,31 @@
+import corpus_pipeline
+from inkstrata.llm import decontamination, near_dedup, queries, secret_scan
+from inkstrata.llm.common import read_table
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages_follow_each_other(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
+    documents = read_table(spark, DATA, "documents")
+    docs = documents
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == documents.columns
+        docs = spark.createDataFrame(docs.collect(), documents.schema)
+    ids = {r["doc_id"] for r in docs.collect()}
+    out = corpus_pipeline.run(spark, DATA).collect()
+    assert {r["doc_id"] for r in out} == ids
+    # what is left has none of what the stages look for
+    assert decontamination.contaminated(docs, read_table(spark, DATA, "benchmark")).count() == 0
+    classes = near_dedup.near_duplicates(docs.where("text NOT LIKE '%[SECRET]%'"))
+    assert classes.where("doc_id <> class_id").count() == 0
+    assert secret_scan.secrets(docs).where("spans <> ''").count() == 0
+    assert 0.5 * documents.count() < len(ids) < documents.count()
+
+
+def test_every_query_runs(spark):
+    names = [f"op{n}_" for n in range(1, 11)]
+    assert all(any(q.startswith(n) for q in queries.QUERIES) for n in names)
+    for name in ("op3_path_templates", "op7_matroska", "op9_bm25_wand"):
+        assert queries.QUERIES[name](spark, DATA).count() > 0
