@@ -167,9 +167,16 @@ def label_boxes(spark: SparkSession, d: str) -> DataFrame:
     return row_splits.lines_from(row_splits.label_boxes(row_splits.with_word_measures(lines(spark, d)))).select("capture_id", "line_ord", "part", "text", "left", "width")
 
 
-@query()
+@query(f"""WITH {GAPS_SQL},
+stats AS (SELECT capture_id, line_ord, count(*) AS n, median(height) AS mh, median(width) AS mw, coalesce(median(gap) FILTER (gap > 0), 0) AS mg, min(gap) FILTER (gap > 0) AS lg, sum(width) / greatest(1, max("left" + width) - min("left")) AS occupancy,
+    max("left" + width) - min("left") AS lw, bool_and(length(text) BETWEEN 1 AND 18 AND NOT {T.sentence_punctuation('text', D)}) AS plain, count(*) FILTER ({T.header_word('text', D)}) AS headers, bool_and(length(text) <= 12) AS short FROM gaps GROUP BY capture_id, line_ord),
+gate AS (SELECT capture_id, line_ord, least(greatest(6, 0.45 * mh), greatest(1.35 * lg, 0.58 * mg)) AS most FROM stats WHERE n BETWEEN 3 AND 10 AND plain AND lw / greatest(1, mh) >= 6.5 AND occupancy <= 0.82 AND mg > 0
+    AND NOT (mg / greatest(1, mw) < 0.14 AND mg / greatest(1, mh) < 0.18 AND occupancy > 0.66) AND (headers >= greatest(2, ceil(n * 0.55)) OR (short AND occupancy <= 0.68))),
+numbered AS (SELECT g.*, sum(CASE WHEN gap > most THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id, line_ord ORDER BY word_ord) AS part FROM gaps g JOIN gate USING (capture_id, line_ord)),
+parts AS (SELECT capture_id, line_ord, part, any_value(n) AS n, string_agg(text, ' ' ORDER BY word_ord) AS text, min("left") AS "left", max("left" + width) - min("left") AS width, count(*) AS size FROM numbered GROUP BY capture_id, line_ord, part)
+SELECT capture_id, line_ord, part::INTEGER AS part, text, "left", width FROM parts QUALIFY count(*) {_OVER} >= 2 AND count(*) {_OVER} / n >= 0.55 AND max(size) {_OVER} <= 3""")
 def structured_rows(spark: SparkSession, d: str) -> DataFrame:
-    return row_splits.lines_from(row_splits.structured_row(row_splits.with_word_measures(lines(spark, d)))).drop("words")
+    return row_splits.lines_from(row_splits.structured_row(row_splits.with_word_measures(lines(spark, d)))).select("capture_id", "line_ord", "part", "text", "left", "width")
 
 
 @query()
@@ -340,10 +347,11 @@ def agreed_readings(spark: SparkSession, d: str) -> DataFrame:
     return readings.consensus(votes(spark, d))
 
 
-@query()
+@query(f"""WITH {SEGMENTS_SQL}, moded AS (SELECT *, 1 AS source_lines, ['DocumentLike', 'Mixed', 'UiDense'][capture_id % 3 + 1] AS mode FROM segs)
+SELECT capture_id, seg_ord, {readings.ensemble(D)} AS ensemble, {readings.refinable(d=D)} AS refine, {readings.splittable(d=D)} AS split, {readings.split_kind(D)} AS split_kind FROM moded""")
 def refinement_gates(spark: SparkSession, d: str) -> DataFrame:
     segs = rows(spark, d).withColumn("source_lines", F.lit(1)).withColumn("mode", F.expr("element_at(array('DocumentLike', 'Mixed', 'UiDense'), CAST(capture_id % 3 AS int) + 1)"))
-    return segs.selectExpr("capture_id", "seg_ord", f"{readings.ENSEMBLE} AS ensemble", f"{readings.refinable()} AS refine", f"{readings.splittable()} AS split", f"{readings.split_kind()} AS split_kind")
+    return segs.selectExpr("capture_id", "seg_ord", f"{readings.ensemble()} AS ensemble", f"{readings.refinable()} AS refine", f"{readings.splittable()} AS split", f"{readings.split_kind()} AS split_kind")
 
 
 @query()
@@ -415,7 +423,13 @@ def fragments(spark: SparkSession, d: str) -> DataFrame:
     return styles.kept_fragments(styles.styled_islands(styled_words(spark, d)), sizes)
 
 
-@query()
+@query(f"""WITH {ISLANDS_SQL},
+islands AS (SELECT capture_id, fragment::BIGINT AS fragment, min(word_idx) AS first, max(word_idx) AS last, max(word_idx) - min(word_idx) + 1 AS words, bool_or(colored) AS colored, bool_or(bold) AS bold FROM cut GROUP BY capture_id, fragment),
+sizes AS (SELECT capture_id, count(*) AS n, count(DISTINCT line_ord) AS lines FROM looked GROUP BY capture_id),
+fit AS (SELECT *, greatest(4, ceil(n * CASE WHEN n >= 10 OR lines > 1 THEN 0.4 ELSE 0.7 END)) AS most FROM islands JOIN sizes USING (capture_id) WHERE NOT (n >= 8 OR lines > 1) OR (colored AND words <= greatest(1, n // 2)) OR (NOT colored AND bold AND lines = 1 AND words <= 3)),
+once AS (SELECT *, sum(words) OVER (PARTITION BY capture_id) AS covered FROM fit),
+twice AS (SELECT *, sum(words) OVER (PARTITION BY capture_id) AS again FROM once WHERE covered <= most OR colored)
+SELECT capture_id, fragment, first, last, words, colored, bold FROM twice WHERE covered <= most OR again <= ceil(n * 0.35) QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY colored DESC, words DESC, first) <= 4""")
 def kept_fragments(spark: SparkSession, d: str) -> DataFrame:
     return fragments(spark, d).select("capture_id", "fragment", "first", "last", "words", "colored", "bold")
 
