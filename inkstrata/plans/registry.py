@@ -495,6 +495,44 @@ def overlay_boxes(spark: SparkSession, d: str) -> DataFrame:
     return placement.placements(shown, 1200.0, 1e8)
 
 
+@query(f"WITH {LAYOUT_SQL} SELECT capture_id, string_agg({T.normalize('text', D)}, chr(10) ORDER BY line_ord) AS text FROM lines GROUP BY capture_id")
+def previews(spark: SparkSession, d: str) -> DataFrame:
+    return placement.previews(lines(spark, d))
+
+
+_DRAG = placement.selection("x0", "y0", "x1", "y1")
+_WINDOW = placement.window_sizes("width", "height")
+_MEASURES = {"upscale": placement.upscale(), "fast": placement.upscale(fast=True), "font": placement.font_size(), "padding": _WINDOW["padding"], "button": _WINDOW["button"], "shown": _WINDOW["font"]}
+_WEIGHT = placement.weight("height", "(seg_ord % 2 = 0)")
+
+
+@query(f"WITH {SEGMENTS_SQL} SELECT capture_id, seg_ord, {_WEIGHT} AS weight, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in _MEASURES.items())} FROM segs")
+def measures(spark: SparkSession, d: str) -> DataFrame:
+    return rows(spark, d).selectExpr("capture_id", "seg_ord", f"{_WEIGHT} AS weight", *(f"CAST({v} AS double) AS {k}" for k, v in _MEASURES.items()))
+
+
+@query("SELECT event_id, " + ", ".join(f'{v} AS "{k}"' for k, v in _DRAG.items()) + " FROM (SELECT event_id, event_id * 7 % 40 AS x0, event_id * 11 % 30 AS y0, event_id * 13 % 40 AS x1, event_id * 17 % 30 AS y1 FROM events)")
+def selections(spark: SparkSession, d: str) -> DataFrame:
+    drags = table(spark, d, "events").selectExpr("event_id", "event_id * 7 % 40 AS x0", "event_id * 11 % 30 AS y0", "event_id * 13 % 40 AS x1", "event_id * 17 % 30 AS y1")
+    return drags.selectExpr("event_id", *(f"{v} AS {k}" for k, v in _DRAG.items()))
+
+
+@query()
+def visual_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of each line's words cut the line where it may hold several labels."""
+    from inkstrata.operators import visual_split
+
+    segs = lines(spark, d).select("capture_id", F.col("line_ord").cast("int").alias("seg_ord"), "text", "left", "top", "width", "height", F.expr(kind_of("size(words)")).alias("kind"), F.lit(1).alias("source_lines"), F.lit("UiDense").alias("mode"), "words")
+    boxes = words(spark, d).selectExpr("capture_id", "CAST(line_ord AS int) AS seg_ord", "word_ord AS box_ord", "left", "top", "width", "height")
+    return visual_split.split_by_boxes(segs, boxes)
+
+
+@query()
+def word_baselines(spark: SparkSession, d: str) -> DataFrame:
+    w = styled_words(spark, d).selectExpr("capture_id", "CAST(word_idx AS bigint) AS word_idx", "color", "length(text) / 40D AS ink", "height")
+    return styles.baselines(w).selectExpr("capture_id", "color.r AS r", "color.g AS g", "color.b AS b", "ink", "height")
+
+
 # --- logs and settings -----------------------------------------------------
 
 
