@@ -311,9 +311,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without an id belong to no class and stay.  All columns stay.
     """
-    kept = near_duplicates(docs).where("doc_id = class_id")
-    ids = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
-    named = docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id")
-    # only ids that occur again need their rows told apart
-    one = named.where("n = 1").drop("n").unionByName(named.where("n > 1").drop("n").dropDuplicates(["doc_id"]))
-    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    classes = materialise(near_duplicates(docs), "classes")
+    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    again = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    # a list of few ids goes to the texts, which then need no shuffle; a long one meets them by id
+    gone, again = (F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids for ids in (gone, again))
+    kept = docs.join(gone, "doc_id", "left_anti")
+    # only rows of an id that occurs again need to be told apart
+    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
