@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +18,6 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file:///tmp/checkpoints/inkstrata"
-        spark.conf.set("spark.inkstrata.scratch", root)
     return root.rstrip("/")
 
 
@@ -43,14 +41,3 @@ def text_of(column: str = "text") -> Column:
 def id_remainder(modulus: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
-
-
-def table_megabytes(df: DataFrame, columns: list[str]) -> float:
-    """Characters held in some columns, in millions: one cheap aggregate that sizes later shuffles."""
-    total = df.select(sum((F.coalesce(F.length(c), F.lit(0)).cast("long") for c in columns), F.lit(0)).alias("n")).agg(F.sum("n")).first()[0]
-    return (total or 0) / 1e6
-
-
-def local_temp() -> str:
-    """A task's own temporary folder; nothing stays in it after the task."""
-    return tempfile.gettempdir()
