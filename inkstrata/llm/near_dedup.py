@@ -13,7 +13,7 @@ the weighted Jaccard index of those multisets; documents linked at
    long as they are not yet in one component with them, with leaders picked by
    hash, and last with the members of other components of the bucket.  Every
    pair of a bucket is thus in one class already, or verified, or ruled out by
-   sketches of their signatures, which a linked pair fails once in 200 at worst.
+   a bound on its similarity that no linked pair can fail.
 4. Verification computes the exact similarity from the shingle hashes of candidates.
 5. Components grow by label propagation with pointer jumping on tables.
 """
@@ -34,10 +34,10 @@ from inkstrata.llm.common import materialise, text_of
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 32
-ROWS = 8
-#: Of each signature coordinate, 4 bits go into a sketch; documents of the least similarity differ in
-#: 48 of 256 places on average (deviation 6.2), so pairs that differ in more than this are not looked at.
-SKETCH_MOST = 64
+ROWS = 6
+#: Bits of a sketch: each says whether an odd number of a document's shingles falls to it.  Shingles that
+#: two documents share cancel out, so the bits that differ are never more than the shingles that do.
+SKETCH_BITS = 1024
 #: Rounds with a leader picked by hash, before members of other components are compared one by one.
 EXTRA_ROUNDS = 1
 #: First leaders that a member is compared with: those it shares the most bands with.
@@ -131,27 +131,33 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen to a 64-bit integer."""
-    nibbles = (mix(signature) & np.uint64(15)).reshape(-1, 16)
-    return (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+def sketch(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Odd bits of a multiset, 64 to an integer, and its size as the last integer."""
+    odd = np.bincount(set_hashes(elements, counts) % np.uint32(SKETCH_BITS), minlength=SKETCH_BITS) & 1
+    bits = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return np.append(bits, counts.sum())
 
 
 def sketches_near(a: str, b: str) -> str:
-    """SQL: whether two sketches differ in few enough places."""
-    terms = []
-    for i in range(BANDS * ROWS // 16):
-        x = f"({a}[{i}] ^ {b}[{i}])"
-        pairs = f"({x} | shiftrightunsigned({x}, 1))"
-        terms.append(f"bit_count(({pairs} | shiftrightunsigned({pairs}, 2)) & 1229782938247303441L)")  # the lowest bit of each four
-    return f"({' + '.join(terms)}) <= {SKETCH_MOST}"
+    """SQL: whether two sketches leave it open that the similarity is ``SIMILARITY``; false only for pairs below it.
 
+    Sets of n shingles together that differ in d have a Jaccard index of (n - d) / (n + d).
+    """
+    n = SKETCH_BITS // 64
+    differ = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(n))
+    return f"{1 + SIMILARITY}D * ({differ}) <= {1 - SIMILARITY}D * ({a}[{n}] + {b}[{n}]) + 1e-6D"
 
-def pack_set(elements: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted 32-bit hashes of (shingle, occurrence), byte planes apart so that they compress."""
+
+def set_hashes(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """32-bit hashes of (shingle, occurrence)."""
     of = np.repeat(np.arange(len(elements)), counts)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    hashes = np.sort(mix(elements[of] + nth.astype(np.uint64) * _STEP).astype(np.uint32))
+    return mix(elements[of] + nth.astype(np.uint64) * _STEP).astype(np.uint32)
+
+
+def pack_set(elements: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted 32-bit hashes of (shingle, occurrence), byte planes apart so that they compress."""
+    hashes = np.sort(set_hashes(elements, counts))
     return hashes.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
@@ -182,7 +188,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     prints.append(xxhash.xxh3_128_digest(" ".join(text.lower().split())))
                     signature = dart_signature(elements, counts, BANDS * ROWS)
                     bands.append(band_keys(signature) if len(elements) else np.zeros(0, np.int64))
-                    sketches.append(sketch(signature))
+                    sketches.append(sketch(elements, counts))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)], ["doc_id", "words", "bands", "sketch"])
 
@@ -279,7 +285,7 @@ def classes_of(texts: DataFrame, docs: DataFrame) -> DataFrame:
             size = open_rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
             main = size.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
             lead = open_rows.join(main, "bucket").where("label <> main").drop("main")
-        # decided inside the join: what differs too much never becomes a row, nor does a pair in all its buckets but one
+        # decided inside the join: what is surely too different never becomes a row, nor does a pair in all its buckets but one
         once = "" if turn < EXTRA_ROUNDS else " AND array_min(array_intersect(x.own, y.own)) = x.bucket"
         pairs = open_rows.alias("x").join(lead.alias("y"), F.expr(f"x.bucket = y.bucket AND x.label <> y.label AND {sketches_near('x.sketch', 'y.sketch')}{once}"))
         fresh = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")

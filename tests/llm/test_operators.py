@@ -208,6 +208,22 @@ def test_signature_agrees_as_often_as_texts_are_alike():
     assert (near_dedup.dart_signature(common[:1], np.array([0.5]), 64) != 0).all()
 
 
+def test_sketches_rule_out_no_linked_pair(spark):
+    rng = random.Random(11)
+    pairs = []
+    for k in range(600):
+        n = rng.randrange(20, 400) if k % 10 else 6000
+        common, own = [f"c{k}_{i}" for i in range(n)], n // 8  # similarity 0.8 or a little more
+        pairs.append([np.sort(np.array([zlib.crc32(x.encode()) for x in common + [f"{side}{k}_{i}" for i in range(own)]], np.uint64)) for side in "ab"])
+    far = [[np.arange(100, dtype=np.uint64), np.arange(40, 140, dtype=np.uint64)]]
+    of = lambda x: near_dedup.sketch(x, np.ones(len(x), np.int64)).tolist()
+    rows = spark.createDataFrame([(i, of(a), of(b)) for i, (a, b) in enumerate(pairs + far)], "i int, a array<long>, b array<long>")
+    near = {r["i"] for r in rows.where(near_dedup.sketches_near("a", "b")).collect()}
+    assert all(len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for a, b in pairs)
+    assert near == set(range(len(pairs)))  # and the pair of 0.43 is ruled out
+    assert (1 - near_dedup.SIMILARITY**near_dedup.ROWS) ** near_dedup.BANDS < 0.0007  # banding misses at the least similarity
+
+
 # --- 5 ---------------------------------------------------------------------
 
 
