@@ -37,7 +37,7 @@ def tokenizer_path() -> str:
 
 
 def op6_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
 
 
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkstrata.llm import decontamination, elias_fano, html_text, language_model, matroska, near_dedup, packing, quality, secret_scan, toxicity, url_filter
+from inkstrata.llm import decontamination, elias_fano, html_text, language_model, matroska, near_dedup, packing, quality, queries, secret_scan, toxicity, url_filter
 from inkstrata.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -299,6 +299,21 @@ def test_packing_round_trip(spark):
     assert packing.pack(empty_docs(spark), tokenizer_path()).count() == 0
 
 
+def test_packing_query_reads_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())  # at its default settings
+    texts = ["<|endoftext|> as text", "a <|endoftext|><|endoftext|>b  <|endoftext|>", "<|endoftext", "<|endoftext|>" * 3000, "plain text", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in queries.op6_linear_grouping(spark, str(tmp_path)).collect()}
+    wanted = {}
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        for k, (start, n) in enumerate(packing.pieces_of(len(ids))):
+            wanted[i, k] = (start, n, zlib.crc32(ids[start : start + n].tobytes()))
+    assert found == wanted and len(packing.pieces_of(3001)) == 2
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_all(seed):
     rng = np.random.default_rng(seed)
