@@ -22,6 +22,7 @@ from inkstrata.llm.common import materialise
 
 #: (host and path start, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: The SQL below follows a path this far; the query has no such bound.
 DEPTH = 4
 LONG_SEGMENT = 40
 #: A position is variable with so many values, and fewer than so many urls a value.
@@ -49,57 +50,58 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def template_parts(path: Column) -> Column:
-    """First ``DEPTH`` segments with wildcards for what varies by its look; what is deeper is one ``**``."""
+    """All segments, with wildcards for what varies by its look."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     one = lambda s: F.when((s.rlike(HASH_LIKE) & s.rlike("[0-9]")) | (F.length(s) > LONG_SEGMENT), "*").otherwise(F.regexp_replace(s, "[0-9]+", "*"))
-    return F.concat(F.transform(F.slice(parts, 1, DEPTH), one), F.when(F.size(parts) > DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+    return F.transform(parts, one)
 
 
-def _prefix(parts: str, depth: int) -> Column:
-    return F.array_join(F.slice(parts, 1, depth), "/")
+def _levels(table: DataFrame, parts: str) -> DataFrame:
+    """A row for each template and depth, with the prefixes above and down to its segment there."""
+    prefix = lambda depth: F.array_join(F.slice(parts, F.lit(1), depth), "/")
+    rows = table.where(F.size(parts) >= 1).withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(parts))))
+    return rows.withColumn("above", prefix(F.col("depth") - 1)).withColumn("branch", prefix(F.col("depth"))).drop("parts", "general")
 
 
 def generalised(urls: DataFrame) -> DataFrame:
-    """(host, template, parts, n, blocked, labelled) with wildcards where a host's values vary by their counts."""
+    """(host, template, general, blocked, labelled) with wildcards where a host's values vary by their counts."""
     table = urls.groupBy("host", "template").agg(F.first("parts").alias("parts"), F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
     table = materialise(table, "templates")
-    deepest = table.agg(F.max(F.size("parts"))).first()[0] or 0
-    table = table.withColumn("general", F.col("parts"))
-    for d in range(1, min(DEPTH, deepest) + 1):
-        here = table.where(F.size("parts") >= d).groupBy("host", _prefix("parts", d - 1).alias("above"), F.element_at("parts", d).alias("segment")).agg(F.sum("n").alias("n"))
-        varies = here.groupBy("host", "above").agg(F.count("*").alias("values"), F.sum("n").alias("n")).where((F.col("values") >= MANY_VALUES) & (F.col("n") < URLS_A_VALUE * F.col("values"))).select("host", "above", F.lit(True).alias("varies"))
-        table = table.withColumn("above", _prefix("parts", d - 1)).join(varies, ["host", "above"], "left")
-        table = table.withColumn("general", F.when(F.col("varies") & (F.size("parts") >= d), F.transform("general", lambda s, i: F.when(i == d - 1, "*").otherwise(s))).otherwise(F.col("general"))).drop("above", "varies")  # noqa: B023
-        table = materialise(table, "general")  # plans stay small: the table of templates is
-    return table
+    levels = _levels(table, "parts")
+    here = levels.groupBy("host", "depth", "above", "branch").agg(F.sum("n").alias("n"))
+    varies = here.groupBy("host", "depth", "above").agg(F.count("*").alias("values"), F.sum("n").alias("n")).where((F.col("values") >= MANY_VALUES) & (F.col("n") < URLS_A_VALUE * F.col("values"))).select("host", "depth", "above")
+    wild = levels.join(varies, ["host", "depth", "above"]).groupBy("host", "template").agg(F.collect_set("depth").alias("wild"))
+    general = F.transform("parts", lambda s, i: F.when(F.array_contains("wild", i + 1), "*").otherwise(s))
+    table = table.join(wild, ["host", "template"], "left").withColumn("general", F.when(F.col("wild").isNotNull(), general).otherwise(F.col("parts")))
+    return materialise(table.select("host", "template", "general", "blocked", "labelled"), "general")  # plans stay small: the table of templates is
 
 
 def purity(table: DataFrame) -> DataFrame:
     """(host, template, purity): smoothed share of blocked examples of each template's place in the tree."""
-    total = table.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.max(F.size("general")).alias("deepest")).first()
+    total = table.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     overall = ((total["b"] or 0) + 0.5) / ((total["l"] or 0) + 1.0)
     root = table.groupBy("host").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     root = root.select("host", ((F.col("b") + PRIOR_WEIGHT * F.lit(overall)) / (F.col("l") + PRIOR_WEIGHT)).alias("share"))
-    table = table.join(root, "host")
-    for d in range(1, min(DEPTH, total["deepest"] or 0) + 1):
-        table = table.withColumn("above", _prefix("general", d - 1)).withColumn("branch", _prefix("general", d))
-        nodes = table.where(F.size("general") >= d).groupBy("host", "above", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-        around = nodes.groupBy("host", "above").agg(F.sum("b").alias("all_b"), F.sum("l").alias("all_l"))
-        nodes = nodes.join(around, ["host", "above"])
-        ratio = F.try_divide  # null where there are no examples: then a branch has nothing to differ by
-        rest_b, rest_l, pooled = F.col("all_b") - F.col("b"), F.col("all_l") - F.col("l"), ratio(F.col("all_b"), F.col("all_l"))
-        gap = ratio(F.col("b"), F.col("l")) - ratio(rest_b, rest_l)
-        own = gap * gap > F.lit(DIFFERENT * DIFFERENT) * pooled * (1 - pooled) * (ratio(F.lit(1.0), F.col("l")) + ratio(F.lit(1.0), rest_l))
-        nodes = nodes.withColumn("own", F.coalesce(own, F.lit(False)))
-        merged = nodes.where(~F.col("own")).groupBy("host", "above").agg(F.sum("b").alias("merged_b"), F.sum("l").alias("merged_l"))
-        nodes = nodes.join(merged, ["host", "above"], "left").select(
-            "host", "branch", F.when(F.col("own"), F.col("b")).otherwise(F.col("merged_b")).alias("use_b"), F.when(F.col("own"), F.col("l")).otherwise(F.col("merged_l")).alias("use_l")
-        )
-        # shorter templates have no node here: their branch may read like a longer one's, so the size is checked below
-        table = table.join(nodes, ["host", "branch"], "left")
-        share = F.when(F.size("general") >= d, (F.col("use_b") + PRIOR_WEIGHT * F.col("share")) / (F.col("use_l") + PRIOR_WEIGHT)).otherwise(F.col("share"))
-        table = materialise(table.withColumn("share", share).drop("above", "branch", "use_b", "use_l"), "shares")
-    return table.select("host", "template", F.col("share").alias("purity"))
+    # what a node counts depends on the counts only, so the nodes of all depths are made at once
+    levels = _levels(table, "general")
+    nodes = levels.groupBy("host", "depth", "above", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+    around = nodes.groupBy("host", "depth", "above").agg(F.sum("b").alias("all_b"), F.sum("l").alias("all_l"))
+    nodes = nodes.join(around, ["host", "depth", "above"])
+    ratio = F.try_divide  # null where there are no examples: then a branch has nothing to differ by
+    rest_b, rest_l, pooled = F.col("all_b") - F.col("b"), F.col("all_l") - F.col("l"), ratio(F.col("all_b"), F.col("all_l"))
+    gap = ratio(F.col("b"), F.col("l")) - ratio(rest_b, rest_l)
+    own = gap * gap > F.lit(DIFFERENT * DIFFERENT) * pooled * (1 - pooled) * (ratio(F.lit(1.0), F.col("l")) + ratio(F.lit(1.0), rest_l))
+    nodes = materialise(nodes.withColumn("own", F.coalesce(own, F.lit(False))), "nodes")
+    merged = nodes.where(~F.col("own")).groupBy("host", "depth", "above").agg(F.sum("b").alias("merged_b"), F.sum("l").alias("merged_l"))
+    nodes = nodes.join(merged, ["host", "depth", "above"], "left").select(
+        "host", "depth", "branch", F.when(F.col("own"), F.col("b")).otherwise(F.col("merged_b")).alias("use_b"), F.when(F.col("own"), F.col("l")).otherwise(F.col("merged_l")).alias("use_l")
+    )
+    # shares go down the tree, each smoothed towards the one above
+    way = levels.select("host", "template", "depth", "branch").join(nodes, ["host", "depth", "branch"])
+    way = way.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("depth", "use_b", "use_l"))).alias("way"))
+    down = F.aggregate("way", F.col("share"), lambda share, x: (x["use_b"] + PRIOR_WEIGHT * share) / (x["use_l"] + PRIOR_WEIGHT))
+    table = table.join(root, "host").join(way, ["host", "template"], "left")
+    return table.select("host", "template", F.when(F.col("way").isNotNull(), down).otherwise(F.col("share")).alias("purity"))
 
 
 def judge(pages: DataFrame) -> DataFrame:

@@ -141,6 +141,21 @@ def test_url_filter_against_sql(spark, tmp_path):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_filter_tells_deep_paths_apart(spark, monkeypatch):
+    rng = random.Random(3)
+    urls = [f"https://t.com/de/b/c/d/spam/{i}" for i in range(40)] + [f"https://t.com/fr/b/c/d/news/{i}" for i in range(40)]
+    urls += [f"https://t.com/{chr(97 + i)}x/b/c/d/{kind}/1" for i in range(26) for kind in ("spam", "news")]
+    deep = lambda: "/".join(rng.choice("pqr") for _ in range(rng.randrange(9)))
+    urls += [f"https://h{rng.randrange(3)}.com/{rng.choice(['de', 'fr', 'x', 'y', '/de', '/fr', chr(97 + rng.randrange(26)) * 3])}/{deep()}" for _ in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = sorted(map(tuple, url_filter.judge(pages).collect()))
+    assert {r[4] for r in found if r[0] >= 80 and "/spam/" in r[2]} == {"block"} and {r[4] for r in found if "/news/" in r[2]} == {"allow"}
+    monkeypatch.setattr(url_filter, "DEPTH", 12)  # the same SQL, deep enough for these paths
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert found == sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_filter.oracle_sql()})").fetchall())
+
+
 # --- 4 ---------------------------------------------------------------------
 
 
