@@ -31,10 +31,10 @@ WIDTH = 8
 GRAMS = (3, 4)
 EPOCHS = 6
 RATE = 0.25
-#: Characters of a word that its n-grams cover; the word's own row covers all of it.
-EDGE = 6
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MEMO_LIMIT = 300_000
+#: Rows of new words that are read at once; more, and they are read in turns.
+_ROWS_AT_ONCE = 1_000_000
 
 
 #: Rows of word pairs: met for the first time in the document, met before.
@@ -57,20 +57,18 @@ class Grams:
         self.mask, self.memo = (1 << bits) - 1, {}
 
     def rows(self, word: str) -> list[int]:
-        """Rows of one word: itself, and the n-grams of its bounded ends."""
+        """Rows of one word: itself, and all of its n-grams."""
         marked = f"<{word}>"
-        ends = (marked[:EDGE], marked[-EDGE:]) if len(marked) > 2 * EDGE else (marked,)
         if len(self.memo) > _MEMO_LIMIT:
             self.memo.clear()
         memo, found = self.memo, {xxhash.xxh32_intdigest(word) & self.mask}
-        for end in ends:
-            for n in GRAMS:
-                for i in range(len(end) - n + 1):
-                    gram = end[i : i + n]
-                    row = memo.get(gram)
-                    if row is None:
-                        row = memo[gram] = xxhash.xxh32_intdigest(gram) & self.mask
-                    found.add(row)
+        for n in GRAMS:
+            for i in range(len(marked) - n + 1):
+                gram = marked[i : i + n]
+                row = memo.get(gram)
+                if row is None:
+                    row = memo[gram] = xxhash.xxh32_intdigest(gram) & self.mask
+                found.add(row)
         return list(found)
 
 
@@ -94,6 +92,12 @@ class Embedder:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((0, model.table.shape[1]), np.float32)
 
+    def _word_means(self, lists: list[list[int]]) -> np.ndarray:
+        sizes = np.array([len(x) for x in lists])
+        flat = np.fromiter((r for x in lists for r in x), np.int64, sizes.sum())
+        sums = np.add.reduceat(self.model.table[flat], np.cumsum(sizes) - sizes, axis=0)
+        return sums / sizes[:, None].astype(np.float32)
+
     def means(self, texts: list[str]) -> np.ndarray:
         """One average for each text; the new words of all texts are looked up at once."""
         if len(self.at) > _MEMO_LIMIT:
@@ -107,11 +111,14 @@ class Embedder:
                 fresh.append(word)
             numbered.append(np.array([at[w] for w in own], dtype=np.int64))
         if fresh:
-            lists = [self.grams.rows(w) for w in fresh]
-            sizes = np.array([len(x) for x in lists])
-            flat = np.fromiter((r for x in lists for r in x), np.int64, sizes.sum())
-            sums = np.add.reduceat(self.model.table[flat], np.cumsum(sizes) - sizes, axis=0)
-            self.rows = np.vstack([self.rows, sums / sizes[:, None].astype(np.float32)])
+            blocks, lists, held = [self.rows], [], 0
+            for word in fresh:
+                lists.append(self.grams.rows(word))
+                held += len(lists[-1])
+                if held >= _ROWS_AT_ONCE:
+                    blocks.append(self._word_means(lists))
+                    lists, held = [], 0
+            self.rows = np.vstack([*blocks, self._word_means(lists)] if lists else blocks)
         out = np.zeros((len(texts), self.rows.shape[1]))
         for i, ids in enumerate(numbered):
             if len(ids):
