@@ -58,6 +58,8 @@ SCOPE = frozenset("ul ol dl table select menu article section main body html".sp
 _P_ENDS = SCOPE | {"div", "td", "th", "li", "button"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: What can still begin where no tag ends any more.
+_LAST = re.compile(r"<!--.*|<[!?][^>]*", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -122,6 +124,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
     root = Node("", None)
     top, nodes, runs, at, end = root, [], [], 0, len(html)
     blocks: dict[str, int] = {}
+    last = html.rfind(">")
 
     def count(node: Node, by: int) -> None:
         for table in (blocks,) if node.tag in BLOCK else (node.block.inline,):
@@ -146,14 +149,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
                 top.parts.append(value)
 
     while at < end:
-        m = _TAG.search(html, at)
+        m = (_TAG if at <= last else _LAST).search(html, at)
         if m is None:
             text(at, end)
             break
         text(at, m.start())
         at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        tag = m.re is _TAG and (m[2] or m[5])
+        if not tag:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
