@@ -44,11 +44,16 @@ END_ID = 0
 # --- tokens ---------------------------------------------------------------
 
 
+#: The splitting pattern that the byte-level pre-tokenizer of such files names by ``use_regex`` (a fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def byte_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int], str]:
     """Ranks by bytes of a byte-level BPE file, the ids of its added tokens, and its splitting pattern.
 
     Such files spell each byte as a printable character: printable Latin-1
-    bytes as themselves, the others as U+0100 onwards in order.
+    bytes as themselves, the others as U+0100 onwards in order.  A file that
+    asks for more than that is refused.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -58,22 +63,19 @@ def byte_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int], str]:
     tokens = spec.get("added_tokens", [])
     if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in tokens):
         raise ValueError(f"{path}: added tokens that take more than their own characters are not supported")
+    split = spec.get("pre_tokenizer") or {}
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or spec.get("normalizer"):
+        raise ValueError(f"{path}: only byte-level splitting without a normalizer is supported")
     special = {t["content"]: t["id"] for t in tokens}
     ranks = {bytes(byte_of[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
-    return ranks, special, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return ranks, special, BYTE_LEVEL
 
 
-def encoder(path: str, added: bool = False):  # noqa: ANN201
-    """text -> ids of the byte-level BPE in ``path``.
-
-    ``added``: added tokens that stand in the text have their own ids, as ``tokenizers`` does
-    by default; otherwise they are text like any other.
-    """
+def encoder(path: str):  # noqa: ANN201
+    """text -> ids of the byte-level BPE in ``path``; added tokens that stand in the text have their own ids."""
     import tiktoken
 
     ranks, special, pattern = byte_vocabulary(path)
-    if not added:
-        return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return lambda text: encoding.encode(text, allowed_special="all")
 
@@ -232,12 +234,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 # --- the operator ---------------------------------------------------------
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, added: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces, with each piece's partition and its rank in it."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(tokenizer, added), defaultdict(int)
+        encode, seen = encoder(tokenizer), defaultdict(int)
         part = TaskContext.get().partitionId()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -260,18 +262,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` ids.
 
     Null text counts as empty: such a document is its end id alone.  Documents
     longer than the capacity are cut into full pieces after a first one with
     the rest.  Repeated rows are packed as often as they occur; an empty table
     gives none.  Returns doc_id, piece, start, length, ids_crc32, sequence_id,
-    offset (and ids).  ``added``: see ``encoder``.
+    offset (and ids).
     """
     spark = docs.sparkSession
     # written once: the ranks below must not move when a lost task runs again
-    cut = materialise(pieces(docs, tokenizer, capacity, keep_ids, added), "pieces")
+    cut = materialise(pieces(docs, tokenizer, capacity, keep_ids), "pieces")
     by_part = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     base = by_part.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
