@@ -317,7 +317,7 @@ def test_packing_query_reads_added_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())  # at its default settings
-    texts = ["<|endoftext|> as text", "a <|endoftext|><|endoftext|>b  <|endoftext|>", "<|endoftext", "<|endoftext|>" * 3000, "plain text", ""]
+    texts = ["<|endoftext|> as text", "a <|endoftext|><|endoftext|>b  <|endoftext|>", "<|endoftext", "<|endoftext|>" * 3000, "plain text", "", "blanks" + " " * 2_000_000 + "end"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in queries.op6_linear_grouping(spark, str(tmp_path)).collect()}
     wanted = {}
