@@ -8,11 +8,15 @@ characters, and three tests ask whether it could be random in that encoding:
 * runs: do symbols of the alphabet's halves alternate as chance would have it?
 * serial correlation: does a symbol tell anything about the next one?
 
-The smallest of the three p-values (times three) is the token's.  Short tokens
-give these tests little power, so a length at which ordinary text would be told
-apart is asked for each encoding, and the Benjamini-Hochberg procedure decides
-by encoding and by doubling of the length which tokens are not random, with at
-most ``FALSE_SHARE`` of true random ones among them.  What it leaves is secret.
+The tests are read against two hypotheses.  A token can only be secret if none
+of the three rules out that its symbols are random (``RANDOM_LEAST``).  And the
+null hypothesis, that it is ordinary text (a name, a path, words in a row), has
+to be rejected: the alphabet's use is held against that of running text, the
+runs of vowels and other symbols against those of syllables, the runs of digits
+against those of numbered names.  The
+Benjamini-Hochberg procedure works on these p-values by encoding and by doubling
+of the length, so at most ``FALSE_SHARE`` of the tokens reported in each are
+ordinary; short tokens give the tests little power and need much evidence.
 
 The procedure runs on counts of p-values in fixed bins: a table whose size does
 not depend on the corpus.  The scan itself never shuffles a text.
@@ -31,25 +35,43 @@ ASSIGN_LEAST = 12
 #: A run is matched whole from its first possible start, so asking for the length inside the pattern drops the same matches.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Tokens that the battery looks at: from their first character, with a digit, without padding.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}"
+#: Tokens that the battery looks at: from their first character, without padding.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 
-#: Share of random tokens among those that the procedure takes for ordinary.
+#: Share of ordinary tokens among those that the procedure reports.
 FALSE_SHARE = 0.05
+#: Least p-value of "random" (the smallest of three tests, times three) of a token that may be secret.
+RANDOM_LEAST = 0.002
 BINS, BIN_WIDTH = 400, 0.1
-#: Alphabets by inferred encoding: test, symbols, and the length from which ordinary text (index of
-#: coincidence 0.066) is three standard deviations away from random; hex needs letters and digits both.
+DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+VOWELS = "AEIOUaeiou"
+#: Models of ordinary tokens: symbols that the runs are about, how often neighbours differ in being one of them, how
+#: often in being a digit, how often two symbols of a token are equal, and how often three are.  Letter frequencies and
+#: syllables of European languages; where case or digits mix in, fewer symbols are equal; ordinary hexadecimal tokens
+#: are numbers with few letters.  None: not looked at.
+WORDS = (VOWELS, 0.55, None, 0.066, 0.0055)
+MIXED_CASE = (VOWELS, 0.52, None, 0.055, 0.0042)
+MIXED = (VOWELS, 0.52, 0.10, 0.055, 0.0042)
+NUMBERS = ("ABCDEFabcdef", None, 0.15, 0.12, 0.025)
+#: Inferred encodings, the first that fits: name, test, symbols, model of ordinary tokens.  Digits alone fit none:
+#: ordinary numbers are as random as secret ones.
 ENCODINGS = (
-    ("hex", "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", "0123456789abcdef", 20),
-    ("HEX", "^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", "0123456789ABCDEF", 20),
-    ("base32", "^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 22),
-    ("base36", "^(?=.*[a-z])[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 19),
-    ("BASE36", "^(?=.*[A-Z])[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 19),
-    ("base62", "^(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 16),
-    ("base64", "^(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 16),
-    ("base64url", "^(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 16),
+    ("hex", "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef", NUMBERS),
+    ("HEX", "^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF", NUMBERS),
+    ("base26", "^[a-z]+$", LOWER, WORDS),
+    ("BASE26", "^[A-Z]+$", UPPER, WORDS),
+    ("base32", "^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", UPPER + "234567", MIXED),
+    ("base36", "^(?=.*[a-z])[0-9a-z]+$", DIGITS + LOWER, MIXED),
+    ("BASE36", "^(?=.*[A-Z])[0-9A-Z]+$", DIGITS + UPPER, MIXED),
+    ("base52", "^[A-Za-z]+$", UPPER + LOWER, MIXED_CASE),
+    ("base62", "^(?=.*[A-Za-z])[0-9A-Za-z]+$", DIGITS + UPPER + LOWER, MIXED),
+    ("base64", "^(?=.*[A-Za-z])[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/", MIXED),
+    ("base64url", "^(?=.*[A-Za-z])[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_", MIXED),
+    ("base66", "^(?=.*[A-Za-z])[0-9A-Za-z+/_-]+$", UPPER + LOWER + DIGITS + "+/-_", MIXED),
 )
 MASK = "[SECRET]"
+#: Matches whose places are added up together.
+CHUNK = 256
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -61,20 +83,24 @@ def places(text: str, pattern: str, group: int | None = None) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
     What lies between matches comes from ``split``: lengths of both add up to
-    the places.  Texts without a match cost one search.
+    the places.  Texts without a match cost one search.  Places are added up
+    ``CHUNK`` at a time, so that a text with very many matches is not copied for each.
     """
     p = _quoted(pattern)
     value = f"regexp_extract_all({text}, {p}, {group or 0})"
+    none = "CAST(array() AS array<struct<start: int, end: int, value: string>>)"
+    part = f"""aggregate(slice(z, 1 + {CHUNK} * k, {CHUNK}), named_struct('at', acc.at, 'out', {none}),
+        (own, x) -> CASE WHEN x.`1` IS NULL THEN own ELSE named_struct(
+            'at', own.at + x.`0` + length(x.`1`),
+            'out', concat(own.out, array(named_struct('start', own.at + x.`0`, 'end', own.at + x.`0` + length(x.`1`), 'value', x.`2`)))) END)"""
     return F.expr(
         f"""CASE WHEN {text} RLIKE {p} THEN
-        aggregate(
-            arrays_zip(transform(split({text}, {p}, -1), x -> length(x)), regexp_extract_all({text}, {p}, 0), {value}),
-            named_struct('at', 0, 'out', CAST(array() AS array<struct<start: int, end: int, value: string>>)),
-            (acc, x) -> CASE WHEN x.`1` IS NULL THEN acc ELSE named_struct(
-                'at', acc.at + x.`0` + length(x.`1`),
-                'out', concat(acc.out, array(named_struct('start', acc.at + x.`0`, 'end', acc.at + x.`0` + length(x.`1`), 'value', x.`2`)))) END,
-            acc -> acc.out)
-        ELSE CAST(array() AS array<struct<start: int, end: int, value: string>>) END"""
+        element_at(transform(array(arrays_zip(transform(split({text}, {p}, -1), x -> length(x)), regexp_extract_all({text}, {p}, 0), {value})), z ->
+            aggregate(sequence(0, (size(z) - 1) DIV {CHUNK}),
+                named_struct('at', 0, 'out', CAST(array() AS array<array<struct<start: int, end: int, value: string>>>)),
+                (acc, k) -> element_at(transform(array({part}), own -> named_struct('at', own.at, 'out', concat(acc.out, array(own.out)))), 1),
+                acc -> flatten(acc.out))), 1)
+        ELSE {none} END"""
     )
 
 
@@ -91,38 +117,72 @@ def upper_tail(z: str) -> str:
     return f"(CASE WHEN {z} >= 0 THEN {tail} ELSE 1D - {tail} END)"
 
 
-def _encoding_case(result: int) -> str:
-    return "CASE " + " ".join(f"WHEN c.value RLIKE {_quoted(e[1])} THEN {_quoted(e[result]) if isinstance(e[result], str) else e[result]}" for e in ENCODINGS) + " END"
+def _by_encoding(values: list[str]) -> str:
+    """SQL: the value of a token's encoding, by its name."""
+    return "CASE c.encoding " + " ".join(f"WHEN '{e[0]}' THEN {v}" for e, v in zip(ENCODINGS, values, strict=True)) + " END"
+
+
+def random_tests(n: str, k: str, squares: str, changes: str, share: str, serial: str) -> dict[str, str]:
+    """SQL: standard scores of the three tests where a token of ``n`` symbols is random.
+
+    ``squares`` adds up the squared counts of its symbols, ``changes`` counts
+    neighbours of which one is of the class of ``share`` of the alphabet's
+    ``k`` symbols and the other isn't, ``serial`` is the correlation of neighbours.
+    """
+    q = f"(2 * {share} * (1 - {share}))"
+    return {
+        "uniform": f"({k} / {n} * {squares} - {n} - ({k} - 1)) / sqrt(2 * ({k} - 1) * ({n} - 1) / {n})",
+        "run": f"({changes} - ({n} - 1) * {q}) / sqrt(({n} - 1) * {q} * (1 - {q}) + 2 * ({n} - 2) * ({q} / 2 - {q} * {q}))",
+        "serial": f"({serial} + 1 / {n}) * sqrt({n})",
+    }
+
+
+def ordinary_score(n: str, squares: str, changes: str, mixes: str, model: tuple) -> str:
+    """SQL: one standard score where a token is ordinary.
+
+    Low if its symbols are too evenly used, its neighbours too rarely differ
+    (``changes``), or digits mix with others too often (``mixes``).
+    """
+    _, change, mix, equal, triple = model
+    pairs = f"({n} * ({n} - 1) / 2)"
+    parts = [f"(({squares} - {n}) / 2 + 0.5D - {pairs} * {equal}D) / sqrt({pairs} * {equal * (1 - equal)!r}D + {pairs} * ({n} - 2) * {2 * (triple - equal * equal)!r}D)"]
+    if change is not None:
+        parts.append(f"({changes} + 0.5D - ({n} - 1) * {change}D) / sqrt(({n} - 1) * {change * (1 - change)!r}D)")
+    if mix is not None:
+        parts.append(f"-({mixes} - 0.5D - ({n} - 1) * {mix}D) / sqrt(({n} - 1) * {mix * (1 - mix)!r}D)")
+    return f"({' + '.join(f'({x})' for x in parts)}) / sqrt({len(parts)}D)"
 
 
 def battery(candidates: str = "candidates") -> list[tuple[str, Column]]:
-    """Successive columns that turn token places into array<struct<start, end, encoding, n, p>>."""
+    """Successive columns that turn token places into array<struct<start, end, encoding, size, p>>.
+
+    ``p`` is the p-value of "ordinary", and 1 where the token is not random either.
+    """
+    encoding = "CASE " + " ".join(f"WHEN c.value RLIKE {_quoted(e[1])} THEN '{e[0]}'" for e in ENCODINGS) + " END"
+    share = _by_encoding([f"{sum(x in e[3][0] for x in e[2]) / len(e[2])!r}D" for e in ENCODINGS])
+    tests = random_tests("c.n", "c.k", "c.squares", "c.changes", share, "c.serial")
+    tails = [upper_tail(f"least(greatest({tests['uniform']}, -35D), 35D)"), *(f"2 * {upper_tail(f'least(abs({tests[x]}), 35D)')}" for x in ("run", "serial"))]
+    score = _by_encoding([ordinary_score("c.n", "c.squares", "c.changes", "c.mixes", e[3]) for e in ENCODINGS])
     return [
-        (candidates, F.expr(f"filter(transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'value', c.value, 'encoding', {_encoding_case(0)}, 'alphabet', {_encoding_case(2)}, 'least', {_encoding_case(3)})), c -> c.encoding IS NOT NULL AND length(c.value) >= c.least)")),
-        (candidates, F.expr(f"transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'k', CAST(length(c.alphabet) AS double), 'v', transform(split(c.value, ''), s -> instr(c.alphabet, s) - 1)))")),
+        (candidates, F.expr(f"filter(transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'value', c.value, 'encoding', {encoding})), c -> c.encoding IS NOT NULL)")),
+        (candidates, F.expr(f"transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'alphabet', {_by_encoding([_quoted(e[2]) for e in ENCODINGS])}, 'class', {_by_encoding([_quoted(e[3][0]) for e in ENCODINGS])}, 'symbols', split(c.value, '')))")),
+        (candidates, F.expr(f"transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'k', CAST(length(c.alphabet) AS double), 'v', transform(c.symbols, s -> instr(c.alphabet, s) - 1), 'u', transform(c.symbols, s -> instr(c.class, s) > 0), 'd', transform(c.symbols, s -> instr('{DIGITS}', s) > 0)))")),
         (
             candidates,
-            F.expr(f"""transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'k', c.k, 'n', CAST(size(c.v) AS double),
+            F.expr(f"""transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'k', c.k, 'n', CAST(size(c.v) AS double), 'v', c.v,
                 'squares', aggregate(array_distinct(c.v), 0D, (a, u) -> a + power(size(filter(c.v, y -> y = u)), 2)),
-                'high', CAST(size(filter(c.v, y -> y >= c.k / 2)) AS double),
-                'runs', CAST(1 + size(filter(sequence(1, size(c.v) - 1), i -> (c.v[i] >= c.k / 2) != (c.v[i - 1] >= c.k / 2))) AS double),
-                'mean', aggregate(c.v, 0D, (a, y) -> a + y) / size(c.v),
-                'v', c.v))"""),
-        ),
-        (
-            candidates,
-            F.expr(f"""transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'n', c.n,
-                'uniform', (c.k / c.n * c.squares - c.n - (c.k - 1)) / sqrt(2 * (c.k - 1) * (c.n - 1) / c.n),
-                'run', CASE WHEN c.high = 0 OR c.high = c.n THEN 99D ELSE abs(c.runs - (2 * c.high * (c.n - c.high) / c.n + 1))
-                    / sqrt(greatest(1e-9D, 2 * c.high * (c.n - c.high) * (2 * c.high * (c.n - c.high) - c.n) / (c.n * c.n * (c.n - 1)))) END,
-                'serial', CASE WHEN c.squares = c.n * c.n THEN 99D ELSE abs(aggregate(sequence(1, size(c.v) - 1), 0D, (a, i) -> a + (c.v[i] - c.mean) * (c.v[i - 1] - c.mean))
-                    / aggregate(c.v, 0D, (a, y) -> a + (y - c.mean) * (y - c.mean)) + 1 / c.n) * sqrt(c.n) END))"""),
+                'changes', CAST(size(filter(sequence(1, size(c.u) - 1), i -> c.u[i] != c.u[i - 1])) AS double),
+                'mixes', CAST(size(filter(sequence(1, size(c.d) - 1), i -> c.d[i] != c.d[i - 1])) AS double),
+                'mean', aggregate(c.v, 0D, (a, y) -> a + y) / size(c.v)))"""),
         ),
         (
             candidates,
-            F.expr(f"""transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'size', CAST(floor(log2(c.n)) AS int),
-                'p', greatest(1e-300D, least(1D, 3 * least({upper_tail("least(c.uniform, 35D)")}, 2 * {upper_tail("least(c.run, 35D)")}, 2 * {upper_tail("least(c.serial, 35D)")})))))"""),
+            F.expr(f"""transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'k', c.k, 'n', c.n, 'squares', c.squares, 'changes', c.changes, 'mixes', c.mixes,
+                'serial', CASE WHEN c.squares = c.n * c.n THEN 1D ELSE aggregate(sequence(1, size(c.v) - 1), 0D, (a, i) -> a + (c.v[i] - c.mean) * (c.v[i - 1] - c.mean))
+                    / aggregate(c.v, 0D, (a, y) -> a + (y - c.mean) * (y - c.mean)) END))"""),
         ),
+        (candidates, F.expr(f"transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'n', c.n, 'random', 3 * least({', '.join(tails)}), 'ordinary', least(greatest({score}, -35D), 35D)))")),
+        (candidates, F.expr(f"transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'size', CAST(floor(log2(c.n)) AS int), 'p', CASE WHEN c.random < {RANDOM_LEAST}D THEN 1D ELSE greatest(1e-300D, {upper_tail('(-c.ordinary)')}) END))")),
     ]
 
 
@@ -137,7 +197,7 @@ def scanned(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def thresholds(scored: DataFrame, false_share: float = FALSE_SHARE) -> dict[tuple[str, int], float]:
-    """By encoding and doubling of the length, the p-value up to which tokens are not random (Benjamini-Hochberg).
+    """By encoding and doubling of the length, the p-value up to which tokens are not ordinary (Benjamini-Hochberg).
 
     Works on counts in ``BINS`` bins of -ln p, each taken at its largest p-value,
     so at most encodings x 30 x ``BINS`` rows ever come together.
@@ -154,7 +214,7 @@ def with_spans(scored: DataFrame, cut: dict[tuple[str, int], float]) -> DataFram
     limit = "CASE " + " ".join(f"WHEN c.encoding = '{e}' AND c.size = {s} THEN {p!r}D" for (e, s), p in sorted(cut.items())) + " ELSE -1D END" if cut else "-1D"
     kind = lambda name: f"transform({name}, c -> named_struct('start', c.start, 'kind_order', {KINDS.index(name)}, 'end', c.end, 'kind', '{name}'))"
     out = scored.withColumn("base", F.expr(f"array_sort(concat({kind('assign')}, {kind('access')}, {kind('hex')}))"))
-    fresh = f"filter(candidates, c -> c.p > {limit} AND NOT exists(base, b -> b.start <= c.start AND b.end >= c.end))"
+    fresh = f"filter(candidates, c -> c.p <= {limit} AND NOT exists(base, b -> b.start <= c.start AND b.end >= c.end))"
     return out.withColumn("found", F.expr(f"array_sort(concat(base, transform({fresh}, c -> named_struct('start', c.start, 'kind_order', 3, 'end', c.end, 'kind', 'random'))))"))
 
 
@@ -166,7 +226,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row.
 
     Null text counts as empty and has no spans; repeated rows each get their
-    row; an empty table gives none.
+    row; an empty table gives none; other columns are not looked at.
     """
     scored = materialise(scanned(docs, "doc_id"), "secrets")
     out = with_spans(scored, thresholds(scored))
@@ -182,11 +242,12 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     scored = materialise(scanned(docs, "doc_id"), "secrets")
     cut = thresholds(scored)
     whole = with_spans(scanned(docs.select(F.struct(*docs.columns).alias("row"), "text"), "row"), cut)
+    # found is sorted by start: what lies before each span that isn't inside an earlier one, and what follows the last
     text = F.expr(
-        f"""CASE WHEN size(found) = 0 THEN row.text ELSE aggregate(found, named_struct('at', 0, 'out', CAST('' AS string)),
-            (acc, s) -> CASE WHEN s.start >= acc.at THEN named_struct('at', s.end, 'out', concat(acc.out, substring(row.text, acc.at + 1, s.start - acc.at), {_quoted(mask)}))
+        f"""CASE WHEN size(found) = 0 THEN row.text ELSE aggregate(found, named_struct('at', 0, 'out', CAST(array() AS array<string>)),
+            (acc, s) -> CASE WHEN s.start >= acc.at THEN named_struct('at', s.end, 'out', concat(acc.out, array(substring(row.text, acc.at + 1, s.start - acc.at), {_quoted(mask)})))
                 ELSE named_struct('at', greatest(acc.at, s.end), 'out', acc.out) END,
-            acc -> concat(acc.out, substring(row.text, acc.at + 1))) END"""
+            acc -> array_join(concat(acc.out, array(substring(row.text, acc.at + 1))), '')) END"""
     )
     columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
     out = whole.select(*columns)
