@@ -17,8 +17,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
 
     Training rows are those whose crc32(doc_id as text) mod 3 is not 1.  Rows
     are picked by the hash of their id, so the pick does not follow any order
-    in the data.  Repeated labels of an id count once (the largest); null ids
-    and null labels are left out.  Copies of an id in ``docs`` all count.
+    in the data.  Repeated labels of an id count once (the largest), as do
+    repeated texts (the least); null ids and null labels are left out.
     """
     train = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -30,7 +30,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     for y in (0, 1):
         part = train.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
         picks = part if picks is None else picks.unionByName(part)
-    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picks), "doc_id").select("text", "y")
+    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
     total = sum(counts.values())
     return sample, (counts.get(1, 0) / total if total else 0.5)
 

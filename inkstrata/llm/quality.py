@@ -1,12 +1,12 @@
 """Text quality by supervised subword embeddings.
 
-Every word, and every character n-gram of it, has a hashed row of a learned
-table; a document is the average over its words of the mean of those rows, and
-a softmax over two classes reads that average.  Table and output are trained
-together by numpy stochastic gradient descent on a bounded labelled sample.
-Word pairs count as n-grams too: hashed pairs would never be met again in new
-text, so a pair has one of two learned rows, by whether the document has had it
-before.
+Every word, every character n-gram of it, and every pair of neighbouring words
+has a hashed row of a learned table; a document is the average over its words
+(each the mean of its own rows) and its word pairs, and a softmax over two
+classes reads that average.  Table and output are trained together by numpy
+stochastic gradient descent on a bounded labelled sample.  A word that follows
+itself makes the same n-gram whatever the word, as hashed pairs of rare words
+are never met again in new text.
 
 The table is ``2 ** BITS`` rows of ``WIDTH`` floats at any corpus size, so it
 is broadcast; scoring reads each whole text once, in Arrow batches.
@@ -26,28 +26,30 @@ from pyspark.sql import DataFrame
 
 from inkstrata.llm.labelled import labelled_sample, with_held_out
 
-BITS = 16
+BITS = 18
 WIDTH = 8
 GRAMS = (3, 4)
-EPOCHS = 6
-RATE = 0.25
+EPOCHS = 10
+RATE = 0.5
+#: Learning rate of the table, relative to the output's, and the longest step that one document may make in it.
+TABLE_RATE = 60.0
+LONGEST_STEP = 2.0
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MEMO_LIMIT = 300_000
 #: Rows of new words that are read at once; more, and they are read in turns.
 _ROWS_AT_ONCE = 1_000_000
 
 
-#: Rows of word pairs: met for the first time in the document, met before.
-PAIR_NEW, PAIR_AGAIN = 0, 1
+#: Hash of the n-gram of a word that follows itself.
+TWICE = np.uint64(xxhash.xxh64_intdigest("\0twice"))
 
 
-def pair_counts(ids: np.ndarray) -> tuple[int, int]:
-    """How many adjacent pairs are new to the document, and how many come again."""
-    if len(ids) < 2:
-        return 0, 0
-    ids = np.asarray(ids, dtype=np.int64)
-    distinct = len(np.unique((ids[:-1] << 32) | ids[1:]))
-    return distinct, len(ids) - 1 - distinct
+def pair_rows(hashes: np.ndarray, mask: int) -> np.ndarray:
+    """Rows of the neighbouring pairs of words given by their hashes."""
+    first, second = hashes[:-1], hashes[1:]
+    x = np.where(first == second, TWICE, (first ^ (first >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + second)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(32))) & np.uint64(mask)).astype(np.int64)
 
 
 class Grams:
@@ -91,6 +93,7 @@ class Embedder:
         self.model, self.grams = model, Grams(len(model.table).bit_length() - 1)
         self.at: dict[str, int] = {}
         self.rows = np.zeros((0, model.table.shape[1]), np.float32)
+        self.hashes = np.zeros(0, np.uint64)
 
     def _word_means(self, lists: list[list[int]]) -> np.ndarray:
         sizes = np.array([len(x) for x in lists])
@@ -102,7 +105,7 @@ class Embedder:
         """One average for each text; the new words of all texts are looked up at once."""
         if len(self.at) > _MEMO_LIMIT:
             self.at.clear()
-            self.rows = self.rows[:0]
+            self.rows, self.hashes = self.rows[:0], self.hashes[:0]
         at, fresh, numbered = self.at, [], []
         for text in texts:
             own = tokens(text)
@@ -119,12 +122,12 @@ class Embedder:
                     blocks.append(self._word_means(lists))
                     lists, held = [], 0
             self.rows = np.vstack([*blocks, self._word_means(lists)] if lists else blocks)
+            self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, fresh), np.uint64, len(fresh))])
         out = np.zeros((len(texts), self.rows.shape[1]))
         for i, ids in enumerate(numbered):
             if len(ids):
-                new, again = pair_counts(ids)
-                pairs = new * self.model.table[PAIR_NEW] + again * self.model.table[PAIR_AGAIN]
-                out[i] = (self.rows[ids].sum(axis=0, dtype=np.float64) + pairs) / (len(ids) + new + again)
+                pairs = self.model.table[pair_rows(self.hashes[ids], self.grams.mask)].sum(axis=0, dtype=np.float64)
+                out[i] = (self.rows[ids].sum(axis=0, dtype=np.float64) + pairs) / (2 * len(ids) - 1)
         return out
 
 
@@ -169,8 +172,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: fl
             back = g @ out
             out -= np.outer(g, mean)
             bias -= g
-            # rows move by their share of the average; the scale keeps long texts learning as fast as short ones
-            table[rows] -= np.outer(np.minimum(share_of * 50, 1.0), back).astype(np.float32)
+            step = TABLE_RATE * np.outer(share_of, back)
+            step *= min(1.0, LONGEST_STEP / max(1e-12, float(np.sqrt((step * step).sum()))))
+            table[rows] -= step.astype(np.float32)
     return SubwordModel(table, out.astype(np.float64), bias + np.log([2 * (1 - prior), 2 * prior]))
 
 
@@ -179,13 +183,10 @@ def bag(text: str, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
     words = tokens(text)
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    counts = Counter(words)
-    numbers = {w: i for i, w in enumerate(counts)}
-    new, again = pair_counts(np.array([numbers[w] for w in words]))
-    total = len(words) + new + again
-    rows = [np.array([PAIR_NEW, PAIR_AGAIN])]
-    weights = [np.array([new, again]) / total]
-    for word, n in counts.items():
+    total = 2 * len(words) - 1
+    pairs = pair_rows(np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64), grams.mask)
+    rows, weights = [pairs], [np.full(len(pairs), 1 / total)]
+    for word, n in Counter(words).items():
         ids = grams.rows(word)
         rows.append(np.array(ids))
         weights.append(np.full(len(ids), n / total / len(ids)))

@@ -406,21 +406,6 @@ def test_quality_on_held_out_rows(spark):
     assert held_out_accuracy(quality.quality(docs, truth), truth, "quality") >= 0.97
 
 
-def test_quality_reads_the_middle_of_long_words(monkeypatch):
-    import xxhash
-
-    word = "漢字仮名交じり文には分かち書きがないので一つの語になる"
-    marked, rows = f"<{word}>", set(quality.Grams().rows(word))
-    assert {xxhash.xxh32_intdigest(marked[i : i + n]) & 0xFFFF for n in quality.GRAMS for i in range(len(marked) - n + 1)} <= rows
-    model = quality.SubwordModel(np.random.default_rng(0).random((1 << quality.BITS, quality.WIDTH)).astype(np.float32), np.zeros((2, quality.WIDTH)), np.zeros(2))
-    texts = [word, f"{word[::-1]} short words {word}", ""]
-    whole = quality.Embedder(model).means(texts)
-    monkeypatch.setattr(quality, "_ROWS_AT_ONCE", 40)  # in turns, the same
-    assert (quality.Embedder(model).means(texts) == whole).all()
-    ids, shares = quality.bag(texts[1], quality.Grams())
-    assert np.allclose(shares @ model.table[ids], whole[1], atol=1e-5)
-
-
 @pytest.mark.parametrize("score", [toxicity.toxicity, quality.quality])
 def test_classifiers_take_odd_tables(spark, score):
     docs, truth = made_docs(spark, 200)
