@@ -2,10 +2,13 @@
 
 The test items are indexed; every passage (window of words) of every training
 document is a query against them.  Impacts are divided by an item's score
-against itself, so one threshold serves items of any length.  Items are put in
-classes by length, each with windows of its own size, and in shards of at most
-``SHARD`` items: each shard is one scan of the documents, in blocks, so the
-broadcast index has a fixed bound at any number of items.
+against itself, so one threshold serves items of any length.  Document
+frequencies and the mean length are counted over all items in Spark.  Items are
+put in classes by length, each with windows of its own size, and in shards of
+at most ``SHARD`` items; each shard's index is built in a task and written.  A
+scan of the documents carries as many indexes as ``BROADCAST_BYTES`` hold (one
+scan for any usual benchmark), so the broadcast has a fixed bound at any number
+of items, and no score depends on how items are dealt.
 
 A window is first bounded by its terms' largest impacts in each of a few groups
 of items (sums over strides of the text, no work per window); windows that could
@@ -16,6 +19,7 @@ text: the item's question and its answer must both be there as word trigrams.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstrata.llm.common import text_of
+from inkstrata.llm.common import materialise, text_of
 
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself that a passage must reach.
@@ -36,6 +40,8 @@ THRESHOLD = 0.6
 OVERLAP = 0.5
 GRAM = 3
 SHARD = 20_000
+#: Bytes of written indexes that one scan of the documents carries.
+BROADCAST_BYTES = 64 << 20
 BLOCK = 16
 #: Items in a group of the first bound, and how many groups a shard may have.
 GROUP, MOST_GROUPS = 8, 32
@@ -87,20 +93,22 @@ class Bm25Index:
     groups: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]], window: int) -> Bm25Index:
-        """Index (item id, text) rows; neighbours in length share blocks, so that block bounds are tight."""
+    def build(cls, rows: list[tuple[int, str]], window: int, frequency: dict[str, int] | None = None, n_items: int = 0, mean: float = 0.0) -> Bm25Index:
+        """Index (item id, text) rows; neighbours in length share blocks, so that block bounds are tight.
+
+        ``frequency`` (items that hold a word), ``n_items`` and ``mean`` length
+        are of all items; where they are not given, of ``rows``.
+        """
         split = sorted(((i, *split_item(t)) for i, t in rows), key=lambda r: (len(r[1]) + len(r[2]), r[0]))
         bags = [Counter(q + a) for _, q, a in split]
-        mean = sum(map(lambda b: sum(b.values()), bags)) / max(1, len(bags))
+        if frequency is None:
+            frequency = Counter(w for bag in bags for w in bag)
+            n_items, mean = len(bags), sum(sum(b.values()) for b in bags) / max(1, len(bags))
         vocabulary: dict[str, int] = {}
-        frequency: list[int] = []
         for bag in bags:
             for w in bag:
-                if w not in vocabulary:
-                    vocabulary[w] = len(vocabulary)
-                    frequency.append(0)
-                frequency[vocabulary[w]] += 1
-        idf = [math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for n in frequency]
+                vocabulary.setdefault(w, len(vocabulary))
+        idf = [math.log(1 + (n_items - frequency[w] + 0.5) / (frequency[w] + 0.5)) for w in vocabulary]
         lists: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
         for number, bag in enumerate(bags):
             size = K1 * (1 - B + B * sum(bag.values()) / mean)
@@ -190,11 +198,11 @@ class Matcher:
         self.index, self.least, self.overlap = index, least, overlap
         self.memo: dict[str, int] = {}
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, words: list[str]) -> np.ndarray:
         if len(self.memo) > _MEMO_LIMIT:
             self.memo.clear()
         memo, vocabulary, out = self.memo, self.index.vocabulary, []
-        for word in text.lower().split():
+        for word in words:
             i = memo.get(word)
             if i is None:
                 core = bare(word)
@@ -203,10 +211,10 @@ class Matcher:
         ids = np.array(out, dtype=np.int64)
         return ids[ids > -2]
 
-    def match(self, text: str) -> list[tuple[int, float, float, float]]:
-        """(item id, best score, question overlap, answer overlap) of the verified items of a whole text."""
+    def match(self, words: list[str]) -> list[tuple[int, float, float, float]]:
+        """(item id, best score, question overlap, answer overlap) of the verified items of a whole text's lower-cased words."""
         index, window = self.index, self.index.window
-        ids = self.ids(text)
+        ids = self.ids(words)
         if not len(ids):
             return []
         stride = window // 4
@@ -237,46 +245,83 @@ class Matcher:
         return sorted(found)
 
 
-def shards(benchmark: DataFrame, shard: int = SHARD) -> Iterator[Bm25Index]:
-    """Indexes of the test items, at most ``shard`` items each; null or wordless items are left out.
+def statistics(benchmark: DataFrame) -> tuple[DataFrame, int, float]:
+    """(item_id, text, window, frequencies) of every test item with words, how many there are, and their mean length.
 
-    Items come to the driver one shard at a time (its bound: ``shard`` texts).
+    ``frequencies`` holds, for each word of the item, how many items hold it.
     """
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = items.count()
-    parts = max(1, -(-n // (shard // 2 or 1))) if n > shard else 1
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).distinct().collect()
-        classes: dict[int, list[tuple[int, str]]] = defaultdict(list)
-        for r in rows:
-            if words := words_of(r["text"]):
-                classes[window_of(len(words))].append((r["item_id"], r["text"]))
-        for window, own in sorted(classes.items()):
-            yield Bm25Index.build(sorted(own), window)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [words_of(t) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("item_id"), batch.column("text"), pa.array([len(b) for b in bags], pa.int64()), pa.array([window_of(len(b)) for b in bags], pa.int64()), pa.array([sorted(set(b)) for b in bags], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", "text", "n_words", "window", "words"])
+
+    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = materialise(rows.mapInArrow(run, "item_id long, text string, n_words long, window long, words array<string>").where("n_words > 0"), "items")
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.avg("n_words"), F.lit(0.0)).alias("mean")).first()
+    each = items.select("item_id", "text", "window", F.explode("words").alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("n"))
+    held = each.join(counts, "word").groupBy("item_id", "text", "window").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("frequencies"))
+    return held, size["n"], size["mean"]
 
-def _matchers(docs: DataFrame, index: Bm25Index) -> Callable[[], Matcher]:
-    held = (index.items, index.vocabulary, index.postings, index.bound, index.grams, index.window, index.groups)
-    shared = docs.sparkSession.sparkContext.broadcast(held)
-    return lambda: Matcher(Bm25Index(*shared.value))
 
+def indexes(benchmark: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(window, part, index): the written index of each shard of at most about ``shard`` test items.
+
+    Null and wordless items are left out; a repeated item counts once.
+    """
+    items, n, mean = statistics(benchmark)
+    parts = max(1, -(-n // (shard // 2 or 1))) if n > shard else 1
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        frequency = {w: k for r in rows for w, k in r["frequencies"]}
+        index = Bm25Index.build(sorted((r["item_id"], r["text"]) for r in rows), rows[0]["window"], frequency, n, mean)
+        held = (index.items, index.vocabulary, index.postings, index.bound, index.grams, index.window, index.groups)
+        return pa.table({"window": [rows[0]["window"]], "part": [rows[0]["part"]], "index": [pickle.dumps(held)]}, schema=pa.schema([("window", pa.int64()), ("part", pa.int64()), ("index", pa.binary())]))
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    return materialise(dealt.groupBy("window", "part").applyInArrow(run, "window long, part long, index binary"), "indexes")
+
+
+def scans(written: DataFrame, most: int = BROADCAST_BYTES) -> Iterator[Callable[[], list[Matcher]]]:
+    """For each scan of the documents, what makes its matchers; a scan's indexes come to the driver as bytes, at most ``most`` of them (or one index)."""
+    sizes = written.select("window", "part", F.octet_length("index").alias("size")).orderBy("window", "part").collect()
+    groups: list[list] = []
+    room = 0
+    for r in sizes:
+        if not groups or r["size"] > room:
+            groups.append([])
+            room = most
+        groups[-1].append((r["window"], r["part"]))
+        room -= r["size"]
+    for group in groups:
+        wanted = F.lit(False)
+        for window, part in group:
+            wanted = wanted | ((F.col("window") == window) & (F.col("part") == part))
+        shared = written.sparkSession.sparkContext.broadcast([bytes(r["index"]) for r in written.where(wanted).orderBy("window", "part").collect()])
+        yield lambda shared=shared: [Matcher(Bm25Index(*pickle.loads(data))) for data in shared.value]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, shard: int = SHARD, most: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every document that holds a test item.
 
     Null and empty texts hold none; repeated rows are each reported; without
     test items the result is empty.  Items of fewer than ``GRAM`` words are
-    found by score alone.
+    found by score alone.  Other columns are not looked at.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = None
-    for index in shards(benchmark):
-        make = _matchers(docs, index)
+    for make in scans(indexes(benchmark, shard), most):
 
-        def run(batches: Iterator[pa.RecordBatch], make: Callable[[], Matcher] = make) -> Iterator[pa.RecordBatch]:
-            matcher = make()
+        def run(batches: Iterator[pa.RecordBatch], make: Callable[[], list[Matcher]] = make) -> Iterator[pa.RecordBatch]:
+            matchers = make()
             for batch in batches:
-                rows = [(i, *hit) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for hit in matcher.match(t)]
+                rows = []
+                for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    words = text.lower().split()
+                    rows += [(i, *hit) for matcher in matchers for hit in matcher.match(words)]
                 if rows:
                     types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -286,15 +331,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a test item; all columns stay, nothing is shuffled."""
-    for index in shards(benchmark):
-        make = _matchers(docs, index)
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", shard: int = SHARD, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a test item; all columns stay, nothing of ``docs`` is shuffled."""
+    for make in scans(indexes(benchmark, shard), most):
 
-        def run(batches: Iterator[pa.RecordBatch], make: Callable[[], Matcher] = make) -> Iterator[pa.RecordBatch]:
-            matcher = make()
+        def run(batches: Iterator[pa.RecordBatch], make: Callable[[], list[Matcher]] = make) -> Iterator[pa.RecordBatch]:
+            matchers = make()
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.match(t or "") for t in batch.column(text).to_pylist()], pa.bool_()))
+                words = ((t or "").lower().split() for t in batch.column(text).to_pylist())
+                yield batch.filter(pa.array([not any(m.match(w) for m in matchers) for w in words], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
