@@ -43,6 +43,9 @@ EXTRA_ROUNDS = 1
 #: First leaders that a member is compared with: those it shares the most bands with.
 FIRST_LEADERS = 2
 
+#: Rows of a bucket's last round that one task takes: larger buckets are dealt to several.
+HOT_BUCKET = 1000
+
 #: Ids of candidates (8 bytes each) that may be sent to every task.
 BROADCAST_ROWS = 2_000_000
 
@@ -283,10 +286,13 @@ def classes_of(texts: DataFrame, docs: DataFrame) -> DataFrame:
             own = Window.partitionBy("doc_id")  # at most BANDS buckets
             open_rows = materialise(open_rows.withColumn("own", F.collect_list("bucket").over(own)), "mixed")
             size = open_rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-            main = size.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
-            lead = open_rows.join(main, "bucket").where("label <> main").drop("main")
+            main = size.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("rows"))
+            main = materialise(main.select("bucket", F.col("m.label").alias("main"), (1 + F.floor(F.col("rows") / HOT_BUCKET)).alias("parts")), "main")
+            # a large bucket's rows are dealt to parts by their ids, and each part meets all of the outsiders
+            open_rows = open_rows.join(main, "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+            lead = open_rows.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         # decided inside the join: what is surely too different never becomes a row, nor does a pair in all its buckets but one
-        once = "" if turn < EXTRA_ROUNDS else " AND array_min(array_intersect(x.own, y.own)) = x.bucket"
+        once = "" if turn < EXTRA_ROUNDS else " AND x.part = y.part AND array_min(array_intersect(x.own, y.own)) = x.bucket"
         pairs = open_rows.alias("x").join(lead.alias("y"), F.expr(f"x.bucket = y.bucket AND x.label <> y.label AND {sketches_near('x.sketch', 'y.sketch')}{once}"))
         fresh = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         fresh = materialise(fresh, "tried")
