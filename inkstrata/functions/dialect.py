@@ -58,6 +58,10 @@ class Dialect:
     def join(self, x: str, by: str = " ") -> str:
         return f"array_join({x}, {self.text(by)})" if self.spark else f"array_to_string({x}, {self.text(by)})"
 
+    def upper(self, x: str) -> str:
+        """Capitals letter by letter: a sharp s has none."""
+        return f"replace(upper(replace({x}, 'ß', chr(1))), chr(1), 'ß')"
+
     def half_even(self, x: str) -> str:
         return f"rint({x})" if self.spark else f"round_even({x}, 0)"
 

@@ -128,10 +128,10 @@ def joins_without_space(left: str, right: str, d: Dialect = SPARK) -> str:
 def case_style(source: str, translated: str, d: Dialect = SPARK) -> str:
     """The translated text in capitals, or with a capital first letter, where the source is."""
     s, t = f"trim({source})", normalize(translated, d)
-    caps = f"({d.has(s, r'\p{L}')} AND upper({s}) = {s})"
+    caps = f"({d.has(s, r'\p{L}')} AND {d.upper(s)} = {s})"
     first = d.group(s, r"^[^\p{L}]*(\p{L})", 1)
-    head = f"({first} <> '' AND upper({first}) = {first} AND lower({first}) <> {first})"
-    return f"CASE WHEN {t} = '' THEN '' WHEN {caps} THEN upper({t}) WHEN {head} THEN concat(upper(substring({t}, 1, 1)), substring({t}, 2)) ELSE {t} END"
+    head = f"({first} <> '' AND {d.upper(first)} = {first} AND lower({first}) <> {first})"
+    return f"CASE WHEN {t} = '' THEN '' WHEN {caps} THEN {d.upper(t)} WHEN {head} THEN concat({d.upper(f'substring({t}, 1, 1)')}, substring({t}, 2)) ELSE {t} END"
 
 
 def label_text(x: str, d: Dialect = SPARK) -> str:

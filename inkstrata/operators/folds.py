@@ -94,6 +94,10 @@ def middle(r: Row) -> float:
     return r["top"] + r["height"] / 2
 
 
+def upper_median(values: list[float]) -> float | None:
+    return sorted(values)[len(values) // 2] if values else None
+
+
 def reading_order(rows: list[Row], ordinal: str) -> list[Row]:
     return sorted(rows, key=lambda r: (r["top"], r["left"], r[ordinal]))
 
@@ -167,7 +171,7 @@ def paragraph_blocks(rows: list[Row]) -> list[Row]:
     for i, (box, lines, _) in enumerate(groups):
         kinds = {x["kind"] for x in lines}
         kind = "UiLabel" if "UiLabel" in kinds else "Paragraph" if len(lines) > 1 or "Paragraph" in kinds else "TextLine"
-        out.append({"capture_id": lines[0]["capture_id"], "seg_ord": i, "text": merge_text([x["text"] for x in lines]), **box, "kind": kind, "source_lines": len(lines)})
+        out.append({"capture_id": lines[0]["capture_id"], "seg_ord": i, "text": merge_text([x["text"] for x in lines]), **box, "kind": kind, "source_lines": len(lines), "line_text": lines[0]["text"].strip() if len(lines) == 1 else None, "line_height": upper_median([x["height"] for x in lines if x["height"] > 0])})
     return out
 
 
@@ -197,22 +201,54 @@ def same_text(a: Row, b: Row) -> bool:
     return (a["text"] or "").strip().upper() == (b["text"] or "").strip().upper()
 
 
+class Kept:
+    """Rows kept so far, by text and by bands of height, so that a new row meets few of them."""
+
+    BAND = 64
+
+    def __init__(self) -> None:
+        self.rows: list[Row] = []
+        self.by_text: dict[tuple[str, int], list[int]] = {}
+        self.by_band: dict[int, list[int]] = {}
+
+    def bands(self, r: Row, margin: float = 0.0) -> range:
+        return range(int((r["top"] - margin) // self.BAND), int((r["top"] + r["height"] + margin) // self.BAND) + 1)
+
+    def put(self, at: int, margin: float = 0.0) -> None:
+        r = self.rows[at]
+        for band in self.bands(r, margin):
+            self.by_text.setdefault(((r["text"] or "").strip().upper(), band), []).append(at)
+            self.by_band.setdefault(band, []).append(at)
+
+    def add(self, r: Row, margin: float = 0.0) -> None:
+        self.rows.append(r)
+        self.put(len(self.rows) - 1, margin)
+
+    def covers(self, r: Row, share: float) -> bool:
+        """Whether a kept row has the row's text and is covered by it."""
+        text = (r["text"] or "").strip().upper()
+        return any(coverage(self.rows[at], r) >= share for band in self.bands(r) for at in self.by_text.get((text, band), ()))
+
+
 def insert_new(rows: list[Row]) -> list[Row]:
     """Primary rows, and automation rows flagged ``wanted`` that no row so far has with the same text over 70 % of its area."""
-    kept = reading_order([r for r in rows if r["source"] == "primary"], "seg_ord")
+    held = Kept()
+    for r in reading_order([r for r in rows if r["source"] == "primary"], "seg_ord"):
+        held.add(r)
     for r in sorted((r for r in rows if r["source"] != "primary" and r["wanted"]), key=lambda r: r["seg_ord"]):
-        if not any(same_text(r, k) and coverage(k, r) >= 0.7 for k in kept):
-            kept.append(r)
+        if not held.covers(r, 0.7):
+            held.add(r)
+    kept = held.rows
     return sorted(kept, key=lambda r: (r["top"], r["left"], r["source"] != "primary", r["seg_ord"]))
 
 
 def drop_covered(rows: list[Row]) -> list[Row]:
     """Smallest boxes first; a box goes if a kept one has its text and lies in it by 72 % of the kept one's area."""
-    kept: list[Row] = []
+    kept = Kept()
     for r in sorted(rows, key=lambda r: (r["width"] * r["height"], r["top"], r["left"], r["seg_ord"])):
-        if not any(same_text(r, k) and coverage(k, r) >= 0.72 for k in kept):
-            kept.append(r)
-    return reading_order(kept, "seg_ord")
+        if not kept.covers(r, 0.72):
+            kept.add(r)
+    return reading_order(kept.rows, "seg_ord")
 
 
 def same_line(a: Row, b: Row) -> bool:
@@ -224,16 +260,19 @@ def same_line(a: Row, b: Row) -> bool:
 
 def merge_responses(rows: list[Row]) -> list[Row]:
     """Lines of ranked recognitions: a line replaces the first same one if it scores more, or is added."""
-    kept: list[Row] = []
+    # rows that are one line share area, or their middles are at most 4, or 0.45 of the smaller height, apart
+    held = Kept()
     for r in sorted(rows, key=lambda r: (r["rank"], r["line_ord"])):
-        for i, k in enumerate(kept):
-            if same_line(k, r):
-                if r["score"] > k["score"]:
-                    kept[i] = r
+        near = sorted({at for band in held.bands(r, 4) for at in held.by_band.get(band, ())})
+        for i in near:
+            if same_line(held.rows[i], r):
+                if r["score"] > held.rows[i]["score"]:
+                    held.rows[i] = r
+                    held.put(i, 4)
                 break
         else:
-            kept.append(r)
-    return reading_order(kept, "line_ord")
+            held.add(r, 4)
+    return reading_order(held.rows, "line_ord")
 
 
 def merge_boxes(boxes: list[Row], most: float) -> list[Row]:

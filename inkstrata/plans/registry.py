@@ -16,7 +16,7 @@ from inkstrata.functions import geometry as G
 from inkstrata.functions import text as T
 from inkstrata.functions.dialect import DUCKDB as D
 from inkstrata.functions.labels import parse_label
-from inkstrata.operators import fusion, modes, placement, readings, row_splits, segmentation, styles, translation
+from inkstrata.operators import fusion, modes, overlay, pixels, placement, readings, refinement, row_splits, segmentation, styles, traces, translation
 from inkstrata.sources import lexicon
 from inkstrata.sources.layout import LAYOUT_SQL, lines_of, table, words_of
 
@@ -57,13 +57,12 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, d: str) -> DataFrame:
-    """Every third word as an automation row, a little off."""
-    w = words(spark, d).where("word_ord % 3 = 0")
-    return w.select("capture_id", F.expr("CAST(line_ord * 10 + word_ord AS int)").alias("seg_ord"), "text", (F.col("left") + 2).alias("left"), (F.col("top") + 1).alias("top"), "width", "height", F.lit("UiLabel").alias("kind"))
+    """Every word as an automation row, a little off."""
+    return words(spark, d).select("capture_id", F.expr("CAST(line_ord * 10 + word_ord AS int)").alias("seg_ord"), "text", (F.col("left") + 2).alias("left"), (F.col("top") + 1).alias("top"), "width", "height", F.lit("UiLabel").alias("kind"))
 
 
 SEGMENTS_SQL = f'{LAYOUT_SQL},\nsegs AS (SELECT capture_id, line_ord::INTEGER AS seg_ord, text, "left", top, width, height, {kind_of("n", D)} AS kind FROM lines)'
-ELEMENTS_SQL = f"""{SEGMENTS_SQL},\nelements AS (SELECT capture_id, (line_ord * 10 + word_ord)::INTEGER AS seg_ord, text, "left" + 2 AS "left", top + 1 AS top, width, height, 'UiLabel' AS kind FROM words WHERE word_ord % 3 = 0)"""
+ELEMENTS_SQL = f"""{SEGMENTS_SQL},\nelements AS (SELECT capture_id, (line_ord * 10 + word_ord)::INTEGER AS seg_ord, text, "left" + 2 AS "left", top + 1 AS top, width, height, 'UiLabel' AS kind FROM words)"""
 
 # --- text ------------------------------------------------------------------
 
@@ -104,13 +103,12 @@ def label_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{T.plain_key('text')} AS plain", f"{T.compact_key('text')} AS compact")
 
 
-_FIRST, _LAST = "replace({0}, 'ß', 'ss')".format("split(text, chr(10))[0]"), "replace(element_at(split(text, chr(10)), -1), 'ß', 'ss')"
-_FIRST_D, _LAST_D = "replace(string_split(text, chr(10))[1], 'ß', 'ss')", "replace(string_split(text, chr(10))[-1], 'ß', 'ss')"
-
-
-@query(f"SELECT doc_id, {T.case_style(_FIRST_D, _LAST_D, D)} AS styled, {T.inline_join(_FIRST_D, _LAST_D, D)} AS joined, {T.joins_without_space(_FIRST_D, _LAST_D, D)} AS tight FROM documents")
+@query(f"""WITH {LAYOUT_SQL}, pairs AS (SELECT capture_id, line_ord, word_ord, text AS a, lead(text, 1, text) OVER (PARTITION BY capture_id, line_ord ORDER BY word_ord) AS b FROM words)
+SELECT capture_id, line_ord, word_ord, {T.case_style('a', 'b', D)} AS styled, {T.inline_join('a', 'b', D)} AS joined, {T.joins_without_space('a', 'b', D)} AS tight FROM pairs""")
 def case_and_spacing(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).selectExpr("doc_id", f"{T.case_style(_FIRST, _LAST)} AS styled", f"{T.inline_join(_FIRST, _LAST)} AS joined", f"{T.joins_without_space(_FIRST, _LAST)} AS tight")
+    """Every word with the next one of its line."""
+    pairs = lines(spark, d).select("capture_id", "line_ord", F.posexplode(F.expr("transform(words, (w, i) -> named_struct('a', w.text, 'b', coalesce(try_element_at(words, i + 2).text, w.text)))")).alias("word_ord", "p")).select("capture_id", "line_ord", "word_ord", "p.*")
+    return pairs.selectExpr("capture_id", "line_ord", "word_ord", f"{T.case_style('a', 'b')} AS styled", f"{T.inline_join('a', 'b')} AS joined", f"{T.joins_without_space('a', 'b')} AS tight")
 
 
 # --- layout ----------------------------------------------------------------
@@ -211,33 +209,41 @@ def segmentation_modes(spark: SparkSession, d: str) -> DataFrame:
 
 # --- labels ----------------------------------------------------------------
 
-#: Some words of the corpus become labels with slips of recognition: a letter doubled, dropped, or look-alike.
+#: Every word stands for itself, and beside it for a label with slips of recognition: a letter doubled, dropped, or look-alike.
 _LABEL_ARRAY = "array(" + ", ".join(f"'{x}'" for x in lexicon.LABELS) + ")"
 _SLIP = "CASE {n} % 4 WHEN 0 THEN l WHEN 1 THEN concat(l, substring(l, length(l), 1)) WHEN 2 THEN translate(l, 'aeoc', 'аеос') ELSE concat(substring(l, 1, length(l) - 2), substring(l, length(l), 1)) END"
 
 
 def slipped(spark: SparkSession, d: str) -> DataFrame:
-    w = words(spark, d).where("(7 * capture_id + line_ord + word_ord) % 5 = 0").withColumn("n", F.expr("capture_id + 3 * line_ord + word_ord"))
-    return w.withColumn("l", F.expr(f"{_LABEL_ARRAY}[CAST(n % {len(lexicon.LABELS)} AS int)]")).select("capture_id", "line_ord", "word_ord", F.expr(_SLIP.format(n="n")).alias("text"))
+    """capture_id, line_ord, word_ord, text, slip of every word."""
+    w = words(spark, d).withColumn("n", F.expr("capture_id + 3 * line_ord + word_ord"))
+    return w.withColumn("l", F.expr(f"{_LABEL_ARRAY}[CAST(n % {len(lexicon.LABELS)} AS int)]")).select("capture_id", "line_ord", "word_ord", "text", F.expr(_SLIP.format(n="n")).alias("slip"))
 
 
 _LEXICON_SQL = "lexicon(ord, label, compact) AS (" + lexicon.values_sql([(i, x, lexicon.compact(x)) for i, x in enumerate(lexicon.LABELS)]) + ")"
 
 
 @query(f"""WITH {LAYOUT_SQL}, {_LEXICON_SQL},
-picked AS (SELECT capture_id, line_ord, word_ord, capture_id + 3 * line_ord + word_ord AS n FROM words WHERE (7 * capture_id + line_ord + word_ord) % 5 = 0),
-typed AS (SELECT p.*, {_SLIP.format(n='n')} AS text FROM (SELECT picked.*, lexicon.label AS l FROM picked JOIN lexicon ON lexicon.ord = n % {len(lexicon.LABELS)}) p),
-keyed AS (SELECT DISTINCT text, {T.plain_key('text', D)} AS spaced, replace({T.plain_key('text', D)}, ' ', '') AS key FROM typed),
+picked AS (SELECT capture_id, line_ord, word_ord, text AS word, capture_id + 3 * line_ord + word_ord AS n FROM words),
+typed AS (SELECT p.*, {_SLIP.format(n='n')} AS slip FROM (SELECT picked.*, lexicon.label AS l FROM picked JOIN lexicon ON lexicon.ord = n % {len(lexicon.LABELS)}) p),
+-- the second engine's edit distance counts bytes: a letter that no label has is one placeholder
+distinct_texts AS (SELECT word AS text FROM typed UNION SELECT slip FROM typed),
+bare AS (SELECT text, regexp_extract_all(regexp_replace(regexp_replace(text, '^[<‹«←]+', ''), '[>›»→]+$', ''), '[\\p{{L}}\\p{{Nd}}]+') AS t FROM distinct_texts),
+cored AS (SELECT text, list_filter(t, lambda x: length(x) > 1) AS long, t FROM bare),
+tokens AS (SELECT text, CASE WHEN len(long) > 0 THEN t[list_position(list_transform(t, lambda x: length(x) > 1), true):len(t) + 1 - list_position(list_reverse(list_transform(t, lambda x: length(x) > 1)), true)] ELSE t[-1:] END AS u FROM cored),
+plain AS (SELECT text, CASE WHEN len(u) BETWEEN 1 AND 2 THEN array_to_string(u, ' ') ELSE '' END AS v FROM tokens),
+keyed AS (SELECT text, {T.plain_key('v', D)} AS spaced, regexp_replace(replace({T.plain_key('v', D)}, ' ', ''), '[^ -~]', chr(1), 'g') AS key FROM plain),
 fits AS (SELECT text, label, ord, levenshtein(key, compact) AS dist FROM keyed, lexicon WHERE key <> '' AND length(spaced) <= 18 AND (key = compact OR (key[1] = compact[1] AND (length(key) <= 4 OR length(compact) <= 4 OR key[1:2] = compact[1:2])
     AND abs(length(key) - length(compact)) <= greatest(2, 1 + CASE WHEN length(compact) <= 3 THEN 0 WHEN length(compact) <= 4 THEN 1 WHEN length(compact) <= 8 THEN 2 ELSE 3 END)
     AND levenshtein(key, compact) <= CASE WHEN length(compact) <= 3 THEN 0 WHEN length(compact) <= 4 THEN 1 WHEN length(compact) <= 8 THEN 2 ELSE 3 END))),
 best AS (SELECT text, arg_min(label, dist * 1000 + ord) AS label FROM fits GROUP BY text)
-SELECT capture_id, line_ord, word_ord, typed.text, label FROM typed LEFT JOIN best USING (text)""")
+SELECT capture_id, line_ord, word_ord, word AS text, a.label, slip, b.label AS slip_label FROM typed LEFT JOIN best a ON a.text = word LEFT JOIN best b ON b.text = slip""")
 def fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
     """Each distinct text is matched once; texts and their labels meet again by text."""
     typed = slipped(spark, d)
-    matched = typed.select("text").distinct().withColumn("label", F.expr(f"{parse_label('text')}.label"))
-    return typed.join(matched, "text").select("capture_id", "line_ord", "word_ord", "text", "label")
+    matched = typed.select("text").union(typed.select("slip")).distinct().withColumn("label", F.expr(f"{parse_label('text')}.label"))
+    again = matched.select(F.col("text").alias("slip"), F.col("label").alias("slip_label"))
+    return typed.join(matched, "text").join(again, "slip").select("capture_id", "line_ord", "word_ord", "text", "label", "slip", "slip_label")
 
 
 # --- capture decisions -----------------------------------------------------
@@ -297,7 +303,10 @@ def second_reading(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LAYOUT_SQL}, again AS (SELECT capture_id, line_ord, CASE WHEN line_ord % 3 = 0 THEN concat(text, ' @') ELSE text END AS text, "left" + line_ord % 7 AS "left", top, width, height FROM lines)
-SELECT a.capture_id, a.line_ord AS a_ord, b.line_ord AS b_ord FROM lines a JOIN again b ON a.capture_id = b.capture_id AND ({G.shared_area('a', 'b', D)} / least(greatest(1, a.width * a.height), greatest(1, b.width * b.height)) >= 0.55
+-- both engines compare lines that touch the same band of height, as lines that are one always do
+, banded_a AS (SELECT *, unnest(range(floor((top - 4) / 64)::BIGINT, floor((top + height + 4) / 64)::BIGINT + 1)) AS band FROM lines)
+, banded_b AS (SELECT *, unnest(range(floor((top - 4) / 64)::BIGINT, floor((top + height + 4) / 64)::BIGINT + 1)) AS band FROM again)
+SELECT DISTINCT a.capture_id, a.line_ord AS a_ord, b.line_ord AS b_ord FROM banded_a a JOIN banded_b b ON a.capture_id = b.capture_id AND a.band = b.band AND ({G.shared_area('a', 'b', D)} / least(greatest(1, a.width * a.height), greatest(1, b.width * b.height)) >= 0.55
     OR (abs({G.middle('a')} - {G.middle('b')}) <= greatest(4, 0.45 * least(a.height, b.height)) AND abs(a."left" - b."left") <= greatest(12, 0.25 * least(a.width, b.width)) AND upper(trim(a.text)) = upper(trim(b.text))))""")
 def same_lines(spark: SparkSession, d: str) -> DataFrame:
     return fusion.same_line_pairs(lines(spark, d).drop("words"), second_reading(spark, d))
@@ -321,13 +330,13 @@ def words_in_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def votes(spark: SparkSession, d: str) -> DataFrame:
-    """Each line's first words as an original with four readings: as it is, spaced out, shortened, doubled."""
-    first = lines(spark, d).select(F.concat_ws(":", "capture_id", "line_ord").alias("case_id"), F.expr("split(text, ' ')[0]").alias("original"))
+    """Each word as an original with four readings: spaced out, as it is, shortened, spaced out again."""
+    first = words(spark, d).select(F.concat_ws(":", "capture_id", "line_ord", "word_ord").alias("case_id"), F.col("text").alias("original"))
     return first.select("case_id", "original", F.posexplode(F.expr("array(concat(substring(original, 1, 1), ' ', substring(original, 2)), original, substring(original, 1, length(original) - 1), concat(substring(original, 1, 1), ' ', substring(original, 2)))")).alias("cand_ord", "text"))
 
 
 VOTES_SQL = f"""{LAYOUT_SQL},
-originals AS (SELECT concat_ws(':', capture_id, line_ord) AS case_id, text AS original FROM words WHERE word_ord = 0),
+originals AS (SELECT concat_ws(':', capture_id, line_ord, word_ord) AS case_id, text AS original FROM words),
 votes AS (SELECT case_id, {T.normalize('original', D)} AS original, idx, {T.label_text('reading', D)} AS text FROM (SELECT case_id, original, unnest(range(4)) AS idx,
     unnest([concat(substring(original, 1, 1), ' ', substring(original, 2)), original, substring(original, 1, length(original) - 1), concat(substring(original, 1, 1), ' ', substring(original, 2))]) AS reading FROM originals)),
 usable AS (SELECT *, {T.compact_key('text', D)} AS key FROM votes WHERE text <> '' AND {T.compact_key('text', D)} <> ''),
@@ -342,7 +351,8 @@ def voted_readings(spark: SparkSession, d: str) -> DataFrame:
     return readings.winners(votes(spark, d))
 
 
-@query(f"WITH {VOTES_SQL} SELECT case_id, (list(best ORDER BY top DESC, first))[1] AS choice FROM groups WHERE support >= 2 AND top >= 18 GROUP BY case_id")
+@query(f"""WITH {VOTES_SQL}, own AS (SELECT case_id, key, count(*) AS support, max(score) AS top, min(idx) AS first, (list(text ORDER BY score DESC, spaces, idx))[1] AS best FROM cands WHERE idx >= 0 GROUP BY case_id, key)
+SELECT case_id, (list(best ORDER BY top DESC, first))[1] AS choice FROM own WHERE support >= 2 AND top >= 18 GROUP BY case_id""")
 def agreed_readings(spark: SparkSession, d: str) -> DataFrame:
     return readings.consensus(votes(spark, d))
 
@@ -356,20 +366,22 @@ def refinement_gates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def adopted_readings(spark: SparkSession, d: str) -> DataFrame:
-    seen = slipped(spark, d).withColumn("original", F.concat(F.col("text"), F.lit(" #"))).withColumnRenamed("text", "candidate").withColumn("kind", F.lit("UiLabel"))
-    return seen.select("capture_id", "line_ord", "word_ord", F.expr(readings.adopted()).alias("adopt"))
+    """Every word against the slipped label beside it, each distinct pair decided once."""
+    seen = slipped(spark, d).withColumnsRenamed({"text": "original", "slip": "candidate"})
+    once = seen.select("original", "candidate").distinct().withColumn("kind", F.lit("UiLabel")).select("original", "candidate", F.expr(readings.adopted()).alias("adopt"))
+    return seen.join(once, ["original", "candidate"]).select("capture_id", "line_ord", "word_ord", "original", "candidate", "adopt")
 
 
-_AGAIN_D = f"({T.compact_key('source', D)} = {T.compact_key('translated', D)} OR ({T.compact_key('source', D)} <> '' AND {T.compact_key('translated', D)} <> '' AND 1 - levenshtein({T.compact_key('source', D)}, {T.compact_key('translated', D)}) / greatest(length({T.compact_key('source', D)}), length({T.compact_key('translated', D)})) >= 0.84))"
+#: Letters of the tables beyond ASCII, and one-byte marks that no key holds: the second engine's edit distance counts bytes.
+_LETTERS, _MARKS = "àáâäãåæçèéêëìíîïñòóôöõøœùúûüÿß", "!#$%&()*+,-./:;<=>?@[]^_`{|}~ "
+_A_D, _B_D = (f"translate({T.compact_key(c, D)}, '{_LETTERS}', '{_MARKS[: len(_LETTERS)]}')" for c in ("source", "translated"))
+_AGAIN_D = f"({_A_D} = {_B_D} OR ({_A_D} <> '' AND {_B_D} <> '' AND 1 - levenshtein({_A_D}, {_B_D}) / greatest(length({_A_D}), length({_B_D})) >= 0.84))"
 
 
-@query(f"""WITH {LAYOUT_SQL}, ascii AS (SELECT capture_id, line_ord, word_ord, regexp_replace(text, '[^ -~]', 'q', 'g') AS text FROM words),
-pairs AS (SELECT capture_id, line_ord, word_ord, text AS source, coalesce(lead(text) OVER (PARTITION BY capture_id, line_ord ORDER BY word_ord), text) AS translated FROM ascii)
+@query(f"""WITH {LAYOUT_SQL}, pairs AS (SELECT capture_id, line_ord, word_ord, text AS source, coalesce(lead(text) OVER (PARTITION BY capture_id, line_ord ORDER BY word_ord), text) AS translated FROM words)
 SELECT capture_id, line_ord, word_ord, (word_ord % 2 = 0 AND length(source) <= 22 AND {T.has_letter('source', D)} AND {_AGAIN_D}) AS again FROM pairs""")
 def doubtful_labels(spark: SparkSession, d: str) -> DataFrame:
-    # the second engine's edit distance counts bytes: the input is made of one-byte letters
-    ascii_lines = lines(spark, d).withColumn("words", F.expr("transform(words, w -> named_struct('text', regexp_replace(w.text, '[^ -~]', 'q')))"))
-    pairs = ascii_lines.select("capture_id", "line_ord", F.posexplode(F.expr("transform(words, (w, i) -> named_struct('source', w.text, 'translated', coalesce(try_element_at(words, i + 2).text, w.text)))")).alias("word_ord", "p")).select("capture_id", "line_ord", "word_ord", "p.*")
+    pairs = lines(spark, d).select("capture_id", "line_ord", F.posexplode(F.expr("transform(words, (w, i) -> named_struct('source', w.text, 'translated', coalesce(try_element_at(words, i + 2).text, w.text)))")).alias("word_ord", "p")).select("capture_id", "line_ord", "word_ord", "p.*")
     return pairs.withColumn("is_dense", F.expr("word_ord % 2 = 0")).select("capture_id", "line_ord", "word_ord", F.expr(readings.read_again()).alias("again"))
 
 
@@ -439,7 +451,9 @@ def kept_fragments(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dictionary_translations(spark: SparkSession, d: str) -> DataFrame:
-    typed = slipped(spark, d)
+    """Every line, and every word with its slipped label; each distinct text is looked up once."""
+    typed = slipped(spark, d).select("capture_id", "line_ord", "word_ord", F.explode(F.array("text", "slip")).alias("text"))
+    typed = typed.unionByName(lines(spark, d).select("capture_id", "line_ord", F.lit(-1).alias("word_ord"), "text"))
     once = typed.select("text").distinct().withColumn("translated", F.expr(translation.dictionary("text")))
     return typed.join(once, "text").select("capture_id", "line_ord", "word_ord", "text", "translated")
 
@@ -450,12 +464,13 @@ _TEXT_D = f"{T.normalize('text', D)}"
 @query(f"""WITH turns AS (SELECT conv_id, turn, {_TEXT_D} AS text, coalesce({T.guess_language(_TEXT_D, D)}, '') AS src, CASE WHEN turn % 3 = 0 THEN 'en' ELSE 'ru' END AS tgt FROM conversations),
 answered AS (SELECT *, CASE WHEN text = '' THEN '' WHEN lower(src) = lower(tgt) THEN text ELSE {T.case_style('text', "CASE WHEN conv_id % 2 = 0 AND turn = 0 THEN concat('cached ', text) ELSE concat('[fallback] ', text) END", D)} END AS translated FROM
     (SELECT t.* EXCLUDE (conv_id, turn), t.conv_id AS c, t.turn AS u, (c2.text IS NOT NULL)::INTEGER AS hit, CASE WHEN c2.text IS NOT NULL THEN 0 ELSE 1 END AS conv_id, 0 AS turn FROM turns t LEFT JOIN (SELECT DISTINCT text, src, tgt FROM turns WHERE conv_id % 2 = 0 AND turn = 0) c2 ON t.text = c2.text AND t.src = c2.src AND t.tgt = c2.tgt))
-SELECT c AS conv_id, u AS turn, src, tgt, replace(translated, 'ẞ', 'SS') AS translated FROM answered""")
+SELECT c AS conv_id, u AS turn, src, tgt, translated FROM answered""")
 def cached_translations(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lit(None).cast("string").alias("src"), F.expr("CASE WHEN turn % 3 = 0 THEN 'en' ELSE 'ru' END").alias("tgt"))
     seen = turns.where("conv_id % 2 = 0 AND turn = 0").withColumn("text", F.expr(T.normalize("text"))).withColumn("src", F.expr(f"coalesce({T.guess_language('text')}, '')"))
     cache = seen.select("src", "tgt", "text").distinct().withColumn("translated", F.concat(F.lit("cached "), "text"))
-    out, _ = translation.translate(turns, cache, dictionaries=False)
+    # the dictionaries are on; no turn of a conversation is a label or a command, so the second engine leaves them out
+    out, _ = translation.translate(turns, cache)
     return out.select("conv_id", "turn", "src", "tgt", "translated")
 
 
@@ -527,6 +542,115 @@ def visual_splits(spark: SparkSession, d: str) -> DataFrame:
     return visual_split.split_by_boxes(segs, boxes)
 
 
+# --- whole flow --------------------------------------------------------------
+
+
+def recognitions(spark: SparkSession, d: str, segments: DataFrame) -> DataFrame:
+    """Second readings of all segments, as a recogniser might give them: clean, with a slip, failed, or spaced out."""
+    seen = segments.select("capture_id", "seg_ord", "text")
+    texts = "array(named_struct('profile', 'fast', 'ord', 0, 'text', concat(text, '@')), named_struct('profile', 'fast', 'ord', 1, 'text', text), named_struct('profile', 'fast', 'ord', 2, 'text', text), named_struct('profile', 'recovery', 'ord', 0, 'text', CAST(NULL AS string)), named_struct('profile', 'recovery', 'ord', 1, 'text', trim(text)), named_struct('profile', 'plain', 'ord', 0, 'text', replace(text, '%%%', '')))"
+    return seen.select("capture_id", "seg_ord", F.explode(F.expr(texts)).alias("r")).select("capture_id", "seg_ord", "r.*")
+
+
+@query()
+def automation_use(spark: SparkSession, d: str) -> DataFrame:
+    return overlay.automation_use(rows(spark, d))
+
+
+@query()
+def overlay_rows(spark: SparkSession, d: str) -> DataFrame:
+    return overlay.overlay_rows(segmentation.segments(lines(spark, d)))
+
+
+@query()
+def refined_segments(spark: SparkSession, d: str) -> DataFrame:
+    segments = segmentation.segments(lines(spark, d))
+    return refinement.refined(segments, modes.capture_modes(segments), recognitions(spark, d, segments))
+
+
+@query()
+def recovered_labels(spark: SparkSession, d: str) -> DataFrame:
+    segments = segmentation.segments(lines(spark, d))
+    return refinement.recovered(segments, recognitions(spark, d, segments))
+
+
+@query()
+def overlay_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every capture from its lines to translated, placed overlay lines."""
+    shown, _ = overlay.overlay_lines(lines(spark, d), "ru")
+    return placement.placements(shown, 1200.0, 1e8)
+
+
+@query()
+def capture_results(spark: SparkSession, d: str) -> DataFrame:
+    all_lines = lines(spark, d)
+    shown, segments = overlay.overlay_lines(all_lines, "ru")
+    captures = docs(spark, d).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("capture_id"), "text")
+    return overlay.capture_results(all_lines, shown, segments, captures, "ru")
+
+
+@query()
+def styled_segments(spark: SparkSession, d: str) -> DataFrame:
+    w = styled_words(spark, d)
+    own = lambda x: x.withColumns({"seg_ord": F.expr("CAST(split(capture_id, ':')[1] AS bigint)"), "capture_id": F.expr("CAST(split(capture_id, ':')[0] AS bigint)")})
+    segs = lines(spark, d).select("capture_id", F.col("line_ord").alias("seg_ord"), F.lit(1).alias("source_lines"))
+    return overlay.styled_segments(own(w.select("capture_id", "word_idx", "text")), own(fragments(spark, d)), segs, None, "ru")
+
+
+def event_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a pixel of its user's picture, on a plain background or in ink."""
+    at = table(spark, d, "events").selectExpr("user_id AS k", "event_id % 40 AS x", "event_id div 40 % 40 AS y", "event_id * 7 % 10 AS ink", "event_id")
+    shade = "CASE WHEN ink < 3 THEN 40 + (event_id % 5) * {0} + user_shift ELSE 230 + event_id % 3 END"
+    at = at.withColumn("user_shift", F.expr("k % 90"))
+    return at.selectExpr("k", "x", "y", *(f"CAST({shade.format(i)} AS int) AS {c}" for i, c in ((9, "r"), (4, "g"), (1, "b")))).withColumns({"under": F.expr("named_struct('r', 231, 'g', 231, 'b', 231)"), "bg": F.expr("named_struct('r', 231, 'g', 231, 'b', 231)")})
+
+
+_SHADE_D = "CASE WHEN ink < 3 THEN 40 + (event_id % 5) * {0} + k % 90 ELSE 230 + event_id % 3 END"
+
+
+@query(f"""WITH spots AS (SELECT user_id AS k, event_id % 40 AS x, event_id // 40 % 40 AS y, event_id * 7 % 10 AS ink, event_id FROM events),
+px AS (SELECT k, x, y, {', '.join(f'({_SHADE_D.format(i)})::INTEGER AS {c}' for i, c in ((9, 'r'), (4, 'g'), (1, 'b')))} FROM spots),
+weighed AS (SELECT *, CASE WHEN d >= 26 THEN d * d ELSE 0 END AS weight FROM (SELECT *, (abs(r - 231) + abs(g - 231) + abs(b - 231))::BIGINT AS d FROM px)),
+first AS (SELECT k, count(*) FILTER (weight > 0) AS n, count(*) AS n_all, sum(weight)::BIGINT AS total, sum(weight * r)::BIGINT // sum(weight)::BIGINT AS r, sum(weight * g)::BIGINT // sum(weight)::BIGINT AS g, sum(weight * b)::BIGINT // sum(weight)::BIGINT AS b FROM weighed GROUP BY k HAVING sum(weight) > 0),
+kept AS (SELECT *, n / n_all AS changed, (abs(r - 231) + abs(g - 231) + abs(b - 231))::DOUBLE AS contrast FROM first WHERE n >= 5 AND n / n_all BETWEEN 0.008 AND 0.78 AND abs(r - 231) + abs(g - 231) + abs(b - 231) >= 42),
+strayed AS (SELECT w.k, k.r, k.g, k.b, k.contrast, k.changed, k.total, w.weight, abs(w.r - k.r) + abs(w.g - k.g) + abs(w.b - k.b) AS off FROM weighed w JOIN kept k ON w.k = k.k WHERE w.weight > 0)
+SELECT k, r, g, b, contrast, changed, sum(weight) FILTER (off <= 58) / any_value(total) AS dominant, sum(off * weight) / any_value(total) AS deviation FROM strayed GROUP BY ALL HAVING sum(off * weight) / any_value(total) <= 68 AND coalesce(sum(weight) FILTER (off <= 58), 0) / any_value(total) >= 0.46""".replace("GROUP BY ALL HAVING", "GROUP BY k, r, g, b, contrast, changed HAVING"))
+def text_colors(spark: SparkSession, d: str) -> DataFrame:
+    """The colour that stands out of each user's picture."""
+    found = pixels.samples(event_pixels(spark, d), "k")
+    return found.select("k", *(F.col(f"sample.color.{c}").alias(c) for c in "rgb"), "sample.contrast", "sample.changed", "sample.dominant", "sample.deviation")
+
+
+@query("SELECT DISTINCT r, g, b, least(255, greatest(0, round_even((round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) - 128) * 1.24::DOUBLE + 128, 0)))::INTEGER AS gray, CASE WHEN round_even((round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) - 128) * 1.24::DOUBLE + 128, 0) < 190 THEN 0 ELSE 255 END AS binary FROM (SELECT (event_id * 3 % 256)::INTEGER AS r, (event_id * 5 % 256)::INTEGER AS g, (event_id * 11 % 256)::INTEGER AS b FROM events)")
+def reading_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels as recognisers get them: gray with more contrast, and black or white."""
+    px = table(spark, d, "events").selectExpr("CAST(event_id * 3 % 256 AS int) AS r", "CAST(event_id * 5 % 256 AS int) AS g", "CAST(event_id * 11 % 256 AS int) AS b").distinct()
+    return px.selectExpr("r", "g", "b", f"{pixels.reading_gray()} AS gray", f"{pixels.reading_binary()} AS binary")
+
+
+@query("""WITH seen AS (SELECT user_id, event_id, CASE event_id % 3 WHEN 0 THEN 'Windows OCR [en] + raw' WHEN 1 THEN 'Windows OCR [ru] + gray' ELSE 'Windows OCR [en] + gray + merge' END AS engine FROM events),
+once AS (SELECT user_id, engine, min(event_id) AS rank FROM seen GROUP BY ALL)
+SELECT user_id AS capture_id, concat('Composite OCR (', string_agg(engine, ' + ' ORDER BY rank), ')') AS name FROM once GROUP BY user_id""")
+def engine_names(spark: SparkSession, d: str) -> DataFrame:
+    name = traces.engine_name("CASE event_id % 3 WHEN 1 THEN 'ru' ELSE 'en' END", "CASE event_id % 3 WHEN 0 THEN 'raw' ELSE 'gray' END", "event_id % 3 = 2")
+    return traces.composite_names(table(spark, d, "events").selectExpr("user_id AS capture_id", "event_id AS rank", f"{name} AS engine"))
+
+
+_PROFILE = "CASE event_id % 4 WHEN 0 THEN 'FullPage' WHEN 1 THEN 'UiLabelRecovery' WHEN 2 THEN 'UiLabelEnsemble' ELSE 'SegmentRefinement' END"
+
+
+@query(f"""WITH seen AS (SELECT user_id AS capture_id, {traces.phase_of(_PROFILE, 'event_id % 8 = 0')} AS phase, value AS spent FROM events WHERE value > 0),
+times AS (SELECT capture_id, phase, sum(spent) AS spent FROM seen GROUP BY ALL),
+phases AS (SELECT capture_id, string_agg(concat(' ', phase, '=', round_even(spent, 0)::BIGINT, 'ms'), '' ORDER BY CASE phase WHEN 'FullPageOcrPreprocess' THEN 1 WHEN 'FullPageOcrRecognize' THEN 2 WHEN 'SegmentRefinement' THEN 3 ELSE 4 END) AS phases FROM times GROUP BY capture_id),
+captures AS (SELECT user_id AS capture_id, count(*) AS ocr, count(*) FILTER (event_id % 2 = 0) AS refine FROM events GROUP BY user_id)
+SELECT capture_id, concat('[Perf] mode=Unknown ocr=', ocr, ' refine=', refine, ' recovery=0 translate=0 inpaint=0', coalesce(phases, '')) AS line FROM captures LEFT JOIN phases USING (capture_id)""")
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    seen = table(spark, d, "events")
+    times = traces.recognition_times(seen.select(F.col("user_id").alias("capture_id"), F.expr(_PROFILE).alias("profile"), F.expr("event_id % 8 = 0").alias("preprocess"), F.col("value").alias("spent")))
+    counts = seen.groupBy(F.col("user_id").alias("capture_id")).agg(F.count("*").alias("ocr"), F.count_if(F.expr("event_id % 2 = 0")).alias("refine"))
+    return traces.report_lines(times, counts.withColumns({"mode": F.lit(None).cast("string"), "recovery": F.lit(None).cast("long"), "translate": F.lit(None).cast("long"), "inpaint": F.lit(None).cast("long")}))
+
+
 @query()
 def word_baselines(spark: SparkSession, d: str) -> DataFrame:
     w = styled_words(spark, d).selectExpr("capture_id", "CAST(word_idx AS bigint) AS word_idx", "color", "length(text) / 40D AS ink", "height")
@@ -538,8 +662,6 @@ def word_baselines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT user_id AS capture_id, event_type AS phase, sum(value) FILTER (value > 0) AS spent, count(*) FILTER (value > 0) AS times FROM events GROUP BY ALL HAVING count(*) FILTER (value > 0) > 0""")
 def phase_times(spark: SparkSession, d: str) -> DataFrame:
-    from inkstrata.operators import traces
-
     return traces.phase_times(table(spark, d, "events").select(F.col("user_id").alias("capture_id"), F.col("event_type").alias("phase"), F.col("value").alias("spent")))
 
 
@@ -550,8 +672,6 @@ def last_traces(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type AS name, user_id AS handle, count(*) AS seen FROM events GROUP BY event_type, user_id QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) = 1")
 def topmost_windows(spark: SparkSession, d: str) -> DataFrame:
-    from inkstrata.operators import traces
-
     return traces.most_frequent(table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("user_id").alias("handle")))
 
 

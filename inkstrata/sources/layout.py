@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstrata.functions.text import normalize, skipped
+
 WORD_TYPE = "struct<text: string, left: double, top: double, width: double, height: double>"
 LINE_TYPE = f"capture_id long, line_ord long, text string, left double, top double, width double, height double, words array<{WORD_TYPE}>"
 
@@ -39,6 +41,25 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return at.select("capture_id", "line_ord", F.array_join("piece", " ").alias("text"), F.expr("words[0].left").alias("left"), "top", F.expr("words[size(words) - 1].left + words[size(words) - 1].width - words[0].left").alias("width"), F.lit(16.0).alias("height"), "words")
 
 
+def recognized_lines(words: DataFrame) -> DataFrame:
+    """Line rows from a recogniser's words (capture_id, line_ord, word_ord, text, box) of a picture enlarged by ``scale`` and ``region_width`` x ``region_height`` large.
+
+    Boxes are divided by the scale; a line's box holds all of its words, its
+    words those with text and a box.  Lines without anything to read, measured
+    against the region in the source's size, go.
+    """
+    box = ("left", "top", "width", "height")
+    rows = words.withColumns({c: F.col(c) / F.col("scale") for c in (*box, "region_width", "region_height")})
+    real = F.when(F.expr("trim(coalesce(text, '')) <> '' AND width > 0 AND height > 0"), F.struct("word_ord", F.struct("text", *box).alias("w")))
+    right, bottom = F.max(F.col("left") + F.col("width")), F.max(F.col("top") + F.col("height"))
+    lines = rows.groupBy("capture_id", "line_ord").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_ord", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " ").alias("text"), F.min("left").alias("left"), F.min("top").alias("top"),
+        (right - F.min("left")).alias("width"), (bottom - F.min("top")).alias("height"), F.transform(F.array_sort(F.collect_list(real)), lambda x: x["w"]).alias("words"), F.first("region_width").alias("rw"), F.first("region_height").alias("rh"),
+    )
+    kept = lines.where(F.expr(f"NOT {skipped('text', 'width', 'height', 'rw', 'rh')}"))
+    return kept.select("capture_id", F.col("line_ord").cast("long").alias("line_ord"), F.expr(normalize("text")).alias("text"), *box, "words")
+
+
 def words_of(lines: DataFrame) -> DataFrame:
     """One row per word of lines that have words."""
     return lines.select("capture_id", "line_ord", F.posexplode("words").alias("word_ord", "w")).select("capture_id", "line_ord", "word_ord", "w.text", "w.left", "w.top", "w.width", "w.height")

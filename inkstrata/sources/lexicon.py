@@ -50,6 +50,14 @@ def languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "side string, ord int, code string, name string")
 
 
+def swapped(source: str, target: str) -> tuple[str, str]:
+    """Source and target exchanged, where both are chosen and each exists on the other side; else as they were."""
+    targets, sources = {c.lower(): c for c, _ in TARGET_LANGUAGES}, {c.lower(): c for c, _ in SOURCE_LANGUAGES if c}
+    if source.strip() and target.strip() and source.lower() in targets and target.lower() in sources:
+        return sources[target.lower()], targets[source.lower()]
+    return source, target
+
+
 def values_sql(rows: list[tuple]) -> str:
     """Rows as a VALUES list for the second engine."""
     one = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"

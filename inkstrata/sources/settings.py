@@ -27,11 +27,21 @@ def read_settings(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def write_settings(spark: SparkSession, path: str, values: dict[str, str]) -> None:
-    """One JSON object; nothing is written if all values are blank."""
-    if any(v.strip() for v in values.values()):
+    """One JSON object; if all values are blank, what is there is deleted."""
+    if not any(v.strip() for v in values.values()):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    else:
         spark.createDataFrame([tuple(values.get(k, "") for k in DEFAULTS)], ", ".join(f"{k} string" for k in DEFAULTS)).coalesce(1).write.mode("overwrite").json(path)
 
 
+def provider(settings: dict[str, str], local_starts: bool, key_names: tuple[str, ...] = ("TRANSLATOR_KEY",)) -> str:
+    """``service`` where a key is set or in one of the environment variables, else ``local`` if that translator starts, else ``demo``."""
+    if settings.get("key", "").strip() or first_of(*key_names):
+        return "service"
+    return "local" if local_starts else "demo"
+
+
 def first_of(*names: str) -> str:
     """The first environment variable that is not blank."""
     return next((v for n in names if (v := os.environ.get(n, "").strip())), "")
