@@ -2,13 +2,12 @@
 
 A monotone sequence keeps the low bits of each value packed side by side and
 the high bits as unary gaps.  Reading goes through arrays of queries at once.
-A level is saved as one file and opened as a memory map.
+A level is one run of bytes in an anonymous memory map: no local file.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,10 +34,10 @@ class EliasFano:
         values = np.asarray(values, dtype=np.uint64)
         n = len(values)
         if n == 0:
-            return cls(0, 0, np.zeros(8, np.uint8), np.zeros(1, np.uint8))
+            return cls(0, 0, np.zeros(17, np.uint8), np.zeros(1, np.uint8))
         low_bits = max(0, (int(values[-1]) // n).bit_length() - 1)
-        bits = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        low = np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(9, np.uint8)])
+        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, count=max(low_bits, 1), bitorder="little")[:, :low_bits]
+        low = np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(17, np.uint8)])
         top = (values >> np.uint64(low_bits)).astype(np.int64)
         unary = np.zeros(int(top[-1]) + n + 2, np.uint8)
         unary[top + np.arange(n)] = 1
@@ -47,10 +46,8 @@ class EliasFano:
     def _lows(self, at: np.ndarray) -> np.ndarray:
         first = at * self.low_bits
         byte, shift = first >> 3, (first & 7).astype(np.uint64)
-        word = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            word |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
-        word >>= shift
+        low = np.ascontiguousarray(self.low)
+        word = np.ndarray((len(low) - 8,), "<u8", low, strides=(1,))[byte] >> shift
         spill = self.low[byte + 8].astype(np.uint64)
         word |= np.where(shift > 0, spill << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
         return word & np.uint64((1 << self.low_bits) - 1)
@@ -106,43 +103,46 @@ class EliasFano:
         return cls(n, low_bits, data[32 : 32 + a], data[32 + a : 32 + a + b]), 32 + a + b
 
 
-KEY_BITS = 40
-#: Quantised log10 of a context-relative probability: code 0 is "not there", code c stands for -(c - 1) * STEP.
-STEP = 0.03
+KEY_BITS = 32
+#: Quantised log10 of a probability or weight: code 0 is "not there", code c stands for -(c - 1) * STEP.
+STEP = 0.04
+#: Count taken off every n-gram that was seen; what is taken off goes to the shorter n-gram.
+DISCOUNT = 0.75
 
 
-@dataclass
-class NgramTrie:
-    """Two levels: contexts with monotone pointers, and their continuations with quantised probabilities.
+def quantised(x: np.ndarray) -> np.ndarray:
+    """Codes of numbers above 0 and at most 1 (0 itself takes the least code there is)."""
+    with np.errstate(divide="ignore"):
+        return (np.clip(np.rint(-np.log10(x) / STEP), 0, 254) + 1).astype(np.uint8)
 
-    A continuation's key is ``KEY_BITS`` of its word's hash; the second level
-    holds context number and key as one monotone sequence, so a search stays
-    in the range that the context's pointers give.
-    """
 
-    contexts: EliasFano
+def value_of(codes: np.ndarray) -> np.ndarray:
+    """Numbers that codes stand for; 0 where there is none."""
+    return np.where(codes == 0, 0.0, 10.0 ** (-(np.asarray(codes, dtype=np.float64) - 1) * STEP))
+
+
+@dataclass
+class Level:
+    """Continuations of the entries of the level above: monotone pointers into one monotone sequence of (entry number, key)."""
+
     pointers: EliasFano
     children: EliasFano
-    totals: np.ndarray
+    #: Smoothed probability of each continuation: its discounted share of its context.
     codes: np.ndarray
+    #: Weight of the shorter n-gram for each entry of the level above.
+    weights: np.ndarray
 
     @classmethod
-    def build(cls, contexts: np.ndarray, of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> NgramTrie:
-        """Sorted distinct ``contexts`` (below 2**63), and entries (context number, key, count) in order, each once."""
-        totals = np.bincount(of, counts, len(contexts)).astype(np.int64)
-        share = counts / totals[of] if len(of) else np.zeros(0)
-        codes = np.clip(np.rint(-np.log10(share) / STEP), 0, 253).astype(np.uint8) + np.uint8(1)
-        pointers = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(contexts)))])
-        return cls(EliasFano.build(contexts), EliasFano.build(pointers), EliasFano.build((of.astype(np.uint64) << np.uint64(KEY_BITS)) | keys), totals, codes)
-
-    def find(self, contexts: np.ndarray) -> np.ndarray:
-        """Context numbers; -1 where there is none."""
-        at = self.contexts.successor(contexts)
-        return np.where(self.contexts.contains(contexts, at), at, -1)
-
-    def lookup(self, numbers: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Codes of continuations of context numbers; 0 where the context or the continuation is not there."""
-        out = np.zeros(len(numbers), np.uint8)
+    def build(cls, totals: np.ndarray, of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Level:
+        """``totals`` of the entries above; continuations (entry above, key, count) in order, each once."""
+        kinds = np.bincount(of, minlength=len(totals))
+        pointers = EliasFano.build(np.concatenate([[0], np.cumsum(kinds)]))
+        share = (counts - DISCOUNT) / totals[of] if len(of) else np.zeros(0)
+        return cls(pointers, EliasFano.build((of.astype(np.uint64) << np.uint64(KEY_BITS)) | keys), quantised(share), quantised(DISCOUNT * kinds / np.maximum(totals, 1)))
+
+    def find(self, numbers: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Numbers of continuations by context-relative successor search; -1 where the context or the continuation is not there."""
+        out = np.full(len(numbers), -1, np.int64)
         known = np.flatnonzero(numbers >= 0)
         if len(known) and self.children.n:
             number = numbers[known]
@@ -150,29 +150,47 @@ class NgramTrie:
             want = (number.astype(np.uint64) << np.uint64(KEY_BITS)) | keys[known]
             at = self.children.successor(want, start, end)
             hit = (at < end) & self.children.contains(want, np.where(at < end, at, self.children.n))
-            out[known[hit]] = self.codes[at[hit]]
+            out[known[hit]] = at[hit]
         return out
 
+    def mapped(self) -> Level:
+        return Level(*(EliasFano.load(_map(x.dump()))[0] for x in (self.pointers, self.children)), _map(self.codes.tobytes()), _map(self.weights.tobytes()))
+
+
+@dataclass
+class NgramTrie:
+    """Contexts, the words that follow them, and the words that follow those pairs, with quantised smoothed probabilities.
+
+    A word's key is ``KEY_BITS`` of its hash.
+    """
+
+    contexts: EliasFano
+    pairs: Level
+    triples: Level
+
+    @classmethod
+    def build(cls, contexts: np.ndarray, totals: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray, np.ndarray]) -> NgramTrie:
+        """Sorted distinct ``contexts`` with their ``totals``; ``pairs`` and ``triples`` as (number in the level above, key, count), sorted."""
+        return cls(EliasFano.build(contexts), Level.build(totals, *pairs), Level.build(pairs[2], *triples))
+
+    def find(self, contexts: np.ndarray) -> np.ndarray:
+        """Context numbers; -1 where there is none."""
+        at = self.contexts.successor(contexts)
+        return np.where(self.contexts.contains(contexts, at), at, -1)
+
     def mapped(self) -> NgramTrie:
-        """The same trie over memory-mapped level files; the files vanish with the map."""
-        sequences = []
-        for level in (self.contexts, self.pointers, self.children):
-            data = _map(level.dump())
-            sequences.append(EliasFano.load(data)[0])
-        return NgramTrie(*sequences, _map(self.totals.tobytes()).view(np.int64), _map(self.codes.tobytes()))
+        """The same trie over memory-mapped levels."""
+        return NgramTrie(EliasFano.load(_map(self.contexts.dump()))[0], self.pairs.mapped(), self.triples.mapped())
+
+
+def codes_at(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Codes by number; 0 where the number is -1."""
+    return np.where(at >= 0, np.asarray(codes)[np.maximum(at, 0)], 0).astype(np.uint8) if len(codes) else np.zeros(len(at), np.uint8)
 
 
 def _map(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint8)
-    with tempfile.NamedTemporaryFile(delete=False) as f:
-        f.write(data)
-    try:
-        return np.memmap(f.name, np.uint8, "r")
-    finally:
-        os.unlink(f.name)
-
-
-def share_of(codes: np.ndarray) -> np.ndarray:
-    """Context-relative probabilities that codes stand for."""
-    return np.where(codes == 0, 0.0, 10.0 ** (-(np.asarray(codes, dtype=np.float64) - 1) * STEP))
+    held = mmap.mmap(-1, len(data))
+    held.write(data)
+    return np.frombuffer(held, np.uint8)

@@ -242,31 +242,6 @@ def test_elias_fano(n, top):
     assert (again.successor(asked) == np.searchsorted(values, asked)).all()
 
 
-def test_scores_against_counting(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 500)
-    real = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("doc_id < 40")
-    docs = odd_docs(spark).select("doc_id", "text").where("doc_id IS NULL OR doc_id <> 1").unionByName(real.where("doc_id > 6"))
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
-    tokens = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t in rows}
-    c, pairs = collections.Counter(), collections.Counter()
-    for i, w in tokens.items():
-        if not held(i):
-            c.update(w)
-            pairs.update(zip([b"\n", *w[:-1]], w, strict=True))
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    out = language_model.score(docs).collect()
-    assert len(out) == len(rows)
-    for r in out:
-        w = tokens[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"]), len(w), sum(c[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10(p(x)) for x in w), rel=1e-9)
-        exact = sum(math.log10((pairs[a, x] + language_model.MU * p(x)) / (c[a] + language_model.MU)) for a, x in zip([b"\n", *w[:-1]], w, strict=True))
-        assert abs(r["score"] - exact) <= 0.016 * len(w)  # half a quantisation step a token at most
-    assert language_model.score(empty_docs(spark)).count() == 0
-
-
 # --- 6 ---------------------------------------------------------------------
 
 
