@@ -122,14 +122,14 @@ def _by_encoding(values: list[str]) -> str:
     return "CASE c.encoding " + " ".join(f"WHEN '{e[0]}' THEN {v}" for e, v in zip(ENCODINGS, values, strict=True)) + " END"
 
 
-def random_tests(n: str, k: str, squares: str, changes: str, share: str, serial: str) -> dict[str, str]:
+def random_tests(n: str, k: str, squares: str, changes: str, q: str, serial: str) -> dict[str, str]:
     """SQL: standard scores of the three tests where a token of ``n`` symbols is random.
 
     ``squares`` adds up the squared counts of its symbols, ``changes`` counts
-    neighbours of which one is of the class of ``share`` of the alphabet's
-    ``k`` symbols and the other isn't, ``serial`` is the correlation of neighbours.
+    neighbours of which one is of a class of symbols and the other isn't (``q``
+    of all neighbours where symbols are random), ``serial`` is the correlation
+    of neighbours.
     """
-    q = f"(2 * {share} * (1 - {share}))"
     return {
         "uniform": f"({k} / {n} * {squares} - {n} - ({k} - 1)) / sqrt(2 * ({k} - 1) * ({n} - 1) / {n})",
         "run": f"({changes} - ({n} - 1) * {q}) / sqrt(({n} - 1) * {q} * (1 - {q}) + 2 * ({n} - 2) * ({q} / 2 - {q} * {q}))",
@@ -159,9 +159,10 @@ def battery(candidates: str = "candidates") -> list[tuple[str, Column]]:
     ``p`` is the p-value of "ordinary", and 1 where the token is not random either.
     """
     encoding = "CASE " + " ".join(f"WHEN c.value RLIKE {_quoted(e[1])} THEN '{e[0]}'" for e in ENCODINGS) + " END"
-    share = _by_encoding([f"{sum(x in e[3][0] for x in e[2]) / len(e[2])!r}D" for e in ENCODINGS])
-    tests = random_tests("c.n", "c.k", "c.squares", "c.changes", share, "c.serial")
-    tails = [upper_tail(f"least(greatest({tests['uniform']}, -35D), 35D)"), *(f"2 * {upper_tail(f'least(abs({tests[x]}), 35D)')}" for x in ("run", "serial"))]
+    shares = [sum(x in e[3][0] for x in e[2]) / len(e[2]) for e in ENCODINGS]
+    q = _by_encoding([f"{2 * x * (1 - x)!r}D" for x in shares])
+    tests = random_tests("c.n", "c.k", "c.squares", "c.changes", "c.q", "c.serial")
+    held = lambda x: f"least(greatest({x}, -35D), 35D)"
     score = _by_encoding([ordinary_score("c.n", "c.squares", "c.changes", "c.mixes", e[3]) for e in ENCODINGS])
     return [
         (candidates, F.expr(f"filter(transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'value', c.value, 'encoding', {encoding})), c -> c.encoding IS NOT NULL)")),
@@ -177,12 +178,18 @@ def battery(candidates: str = "candidates") -> list[tuple[str, Column]]:
         ),
         (
             candidates,
-            F.expr(f"""transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'k', c.k, 'n', c.n, 'squares', c.squares, 'changes', c.changes, 'mixes', c.mixes,
+            F.expr(f"""transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'k', c.k, 'n', c.n, 'squares', c.squares, 'changes', c.changes, 'mixes', c.mixes, 'q', {q},
                 'serial', CASE WHEN c.squares = c.n * c.n THEN 1D ELSE aggregate(sequence(1, size(c.v) - 1), 0D, (a, i) -> a + (c.v[i] - c.mean) * (c.v[i - 1] - c.mean))
                     / aggregate(c.v, 0D, (a, y) -> a + (y - c.mean) * (y - c.mean)) END))"""),
         ),
-        (candidates, F.expr(f"transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'n', c.n, 'random', 3 * least({', '.join(tails)}), 'ordinary', least(greatest({score}, -35D), 35D)))")),
-        (candidates, F.expr(f"transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'size', CAST(floor(log2(c.n)) AS int), 'p', CASE WHEN c.random < {RANDOM_LEAST}D THEN 1D ELSE greatest(1e-300D, {upper_tail('(-c.ordinary)')}) END))")),
+        (candidates, F.expr(f"transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'n', c.n, {', '.join(f"'{x}', {held(z)}" for x, z in tests.items())}, 'ordinary', {held(score)}))")),
+        (
+            candidates,
+            F.expr(f"""transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'size', CAST(floor(log2(c.n)) AS int),
+                'random', array(c.uniform, abs(c.run), abs(c.serial)), 'ordinary', -c.ordinary))"""),
+        ),
+        (candidates, F.expr(f"transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'size', c.size, 'random', transform(c.random, (z, i) -> CASE WHEN i = 0 THEN 3 ELSE 6 END * {upper_tail('z')}), 'p', {upper_tail('c.ordinary')}))")),
+        (candidates, F.expr(f"transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'encoding', c.encoding, 'size', c.size, 'p', CASE WHEN array_min(c.random) < {RANDOM_LEAST}D THEN 1D ELSE greatest(1e-300D, c.p) END))")),
     ]
 
 
