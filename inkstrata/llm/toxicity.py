@@ -92,7 +92,9 @@ def fit(term_sets: list[np.ndarray], labels: np.ndarray, prior: float, bits: int
     labels = np.asarray(labels, dtype=np.float64)
     if len(term_sets) == 0 or labels.min() == labels.max():
         return model
-    seen = np.bincount(np.concatenate(term_sets).astype(np.int64), minlength=size)
+    seen = np.zeros(size, np.int64)
+    for terms in term_sets:  # distinct in each set
+        seen[terms] += 1
     kept = [t[seen[t] >= MIN_DOCS] for t in term_sets]
     rng = np.random.default_rng(seed)
     w, v = np.zeros(size), rng.normal(0, 0.02, (size, factors))
@@ -140,7 +142,10 @@ def train(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
     rows = sample.mapInArrow(encode, "terms binary, y int").toArrow()
     # the sample's order depends on the partitioning: sort it, so that a fit repeats exactly
     pairs = sorted(zip(rows.column("terms").to_pylist(), rows.column("y").to_pylist(), strict=True))
-    return fit([np.frombuffer(t, np.int32) for t, _ in pairs], np.array([y for _, y in pairs]), prior)
+    del rows
+    pa.default_memory_pool().release_unused()
+    labels_of = np.array([y for _, y in pairs])
+    return fit([np.frombuffer(t, np.int32) for t, _ in pairs], labels_of, prior)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.7) -> DataFrame:
