@@ -19,6 +19,7 @@ from inkstrata.functions.labels import parse_label
 from inkstrata.operators import fusion, modes, overlay, pixels, placement, readings, refinement, row_splits, segmentation, styles, traces, translation
 from inkstrata.sources import lexicon
 from inkstrata.sources.layout import LAYOUT_SQL, lines_of, table, words_of
+from inkstrata.sources.stages import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,8 +40,16 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+#: Layout tables that this session has written, by application and folder.
+_LAYOUTS: dict[tuple[str, str], DataFrame] = {}
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return lines_of(docs(spark, d))
+    """The layout table of a folder's documents: written once in a session, shared by its queries, read by column."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LAYOUTS:
+        _LAYOUTS[key] = stage(lines_of(docs(spark, d)), "layout")
+    return _LAYOUTS[key]
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
