@@ -232,7 +232,7 @@ def slipped(spark: SparkSession, d: str) -> DataFrame:
 _LEXICON_SQL = "lexicon(ord, label, compact) AS (" + lexicon.values_sql([(i, x, lexicon.compact(x)) for i, x in enumerate(lexicon.LABELS)]) + ")"
 
 
-@query(f"""WITH {LAYOUT_SQL}, {_LEXICON_SQL},
+_FUZZY_SQL = f"""{LAYOUT_SQL}, {_LEXICON_SQL},
 picked AS (SELECT capture_id, line_ord, word_ord, text AS word, capture_id + 3 * line_ord + word_ord AS n FROM words),
 typed AS (SELECT p.*, {_SLIP.format(n='n')} AS slip FROM (SELECT picked.*, lexicon.label AS l FROM picked JOIN lexicon ON lexicon.ord = n % {len(lexicon.LABELS)}) p),
 -- the second engine's edit distance counts bytes: a letter that no label has is one placeholder
@@ -245,7 +245,10 @@ keyed AS (SELECT text, {T.plain_key('v', D)} AS spaced, regexp_replace(replace({
 fits AS (SELECT text, label, ord, levenshtein(key, compact) AS dist FROM keyed, lexicon WHERE key <> '' AND length(spaced) <= 18 AND (key = compact OR (key[1] = compact[1] AND (length(key) <= 4 OR length(compact) <= 4 OR key[1:2] = compact[1:2])
     AND abs(length(key) - length(compact)) <= greatest(2, 1 + CASE WHEN length(compact) <= 3 THEN 0 WHEN length(compact) <= 4 THEN 1 WHEN length(compact) <= 8 THEN 2 ELSE 3 END)
     AND levenshtein(key, compact) <= CASE WHEN length(compact) <= 3 THEN 0 WHEN length(compact) <= 4 THEN 1 WHEN length(compact) <= 8 THEN 2 ELSE 3 END))),
-best AS (SELECT text, arg_min(label, dist * 1000 + ord) AS label FROM fits GROUP BY text)
+best AS (SELECT text, arg_min(label, dist * 1000 + ord) AS label FROM fits GROUP BY text)"""
+
+
+@query(f"""WITH {_FUZZY_SQL}
 SELECT capture_id, line_ord, word_ord, word AS text, a.label, slip, b.label AS slip_label FROM typed LEFT JOIN best a ON a.text = word LEFT JOIN best b ON b.text = slip""")
 def fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
     """Each distinct text is matched once; texts and their labels meet again by text."""
@@ -373,7 +376,9 @@ def refinement_gates(spark: SparkSession, d: str) -> DataFrame:
     return segs.selectExpr("capture_id", "seg_ord", f"{readings.ensemble()} AS ensemble", f"{readings.refinable()} AS refine", f"{readings.splittable()} AS split", f"{readings.split_kind()} AS split_kind")
 
 
-@query()
+@query(f"""WITH {_FUZZY_SQL}, pairs AS (SELECT capture_id, line_ord, word_ord, word AS original, slip AS candidate, a.label AS old_label, b.label AS new_label FROM typed LEFT JOIN best a ON a.text = word LEFT JOIN best b ON b.text = slip)
+SELECT capture_id, line_ord, word_ord, original, candidate, (candidate <> '' AND upper(candidate) <> upper(original) AND length(candidate) <= greatest(length(original) + 10, ceil(1.75 * length(original))) AND {T.word_count('candidate', D)} <= greatest(4, {T.word_count('original', D)} + 1)
+    AND ((new_label IS NOT NULL AND old_label IS NULL) OR {T.line_score('candidate', D)} >= {T.line_score('original', D)})) AS adopt FROM pairs""")
 def adopted_readings(spark: SparkSession, d: str) -> DataFrame:
     """Every word against the slipped label beside it, each distinct pair decided once."""
     seen = slipped(spark, d).withColumnsRenamed({"text": "original", "slip": "candidate"})
@@ -413,7 +418,22 @@ def backgrounds(spark: SparkSession, d: str) -> DataFrame:
     return looks.selectExpr("capture_id", "seg_ord", f"{styles.opacity()} AS opacity", f"{styles.text_on('bg')} AS ink")
 
 
-@query()
+_CLAMPED = "least(1.0, greatest(0.0, {}))"
+
+
+@query(f"""WITH {SEGMENTS_SQL}, seen AS (SELECT capture_id AS group_id, seg_ord AS ord, kind, round_even((12 + seg_ord % 3)::DOUBLE / 1.6::DOUBLE, 0) AS size, seg_ord % 11 <> 0 AS sampled, 90 + seg_ord % 5 * 9 AS r, 100 + seg_ord % 7 * 5 AS g, 110 + seg_ord % 3 * 40 AS b,
+    (45 + seg_ord % 60)::DOUBLE AS contrast, (1 + seg_ord % 30) / 100::DOUBLE AS changed, (45 + seg_ord % 50) / 100::DOUBLE AS dominant, (10 + seg_ord % 60)::DOUBLE AS deviation FROM segs),
+judged AS (SELECT *, CASE WHEN sampled THEN 0.38::DOUBLE * {_CLAMPED.format('(contrast - 42) / 88')} + 0.14::DOUBLE * CASE WHEN changed < 0.01 THEN 0 WHEN changed > 0.42 THEN 0.35 ELSE 1 - least(1.0, abs(changed - 0.14::DOUBLE) / 0.22::DOUBLE) END
+    + 0.28::DOUBLE * {_CLAMPED.format('(dominant - 0.46::DOUBLE) / 0.44::DOUBLE')} + 0.2::DOUBLE * (1 - {_CLAMPED.format('(deviation - 20) / 76')}) END AS sure FROM seen),
+own AS (SELECT group_id, kind, size, r, g, b, count(*) AS n, sum(sure) AS trust, sum(greatest(0.2, sure)) AS weight, min(ord) AS ord FROM judged WHERE sure >= 0.6 GROUP BY ALL),
+clusters AS (SELECT p.group_id, p.kind, p.size, p.ord, sum(q.n) AS n, sum(q.trust) AS trust, round_even(sum(q.weight * q.r) / sum(q.weight), 0) AS r, round_even(sum(q.weight * q.g) / sum(q.weight), 0) AS g, round_even(sum(q.weight * q.b) / sum(q.weight), 0) AS b
+    FROM own p JOIN own q ON p.group_id = q.group_id AND p.kind = q.kind AND p.size = q.size AND abs(p.r - q.r) + abs(p.g - q.g) + abs(p.b - q.b) <= 54 GROUP BY p.group_id, p.kind, p.size, p.ord),
+best AS (SELECT * FROM clusters WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY group_id, kind, size ORDER BY n DESC, round(trust, 9) DESC, ord) = 1),
+sizes AS (SELECT group_id, kind, size, count(*) AS members FROM judged GROUP BY ALL),
+shares AS (SELECT best.group_id, best.kind, best.size, best.r AS gr, best.g AS gg, best.b AS gb, n / members AS share FROM best JOIN sizes ON best.group_id = sizes.group_id AND best.kind = sizes.kind AND best.size = sizes.size WHERE members >= 2 AND n / members >= 0.4),
+joined AS (SELECT j.*, gr, gg, gb, share, coalesce(sure >= 0.9 AND abs(r - gr) + abs(g - gg) + abs(b - gb) >= 118, false) AS apart FROM judged j LEFT JOIN shares s ON j.group_id = s.group_id AND j.kind = s.kind AND j.size = s.size),
+decided AS (SELECT *, CASE WHEN share >= 0.55 AND NOT apart THEN 'group' WHEN share >= 0.55 OR sure >= 0.72 THEN 'own' ELSE 'default' END AS resolved FROM joined)
+SELECT group_id, ord, round(sure, 9) AS sure, resolved, CASE resolved WHEN 'group' THEN gr WHEN 'own' THEN r ELSE 248 END::INTEGER AS r, CASE resolved WHEN 'group' THEN gg WHEN 'own' THEN g ELSE 250 END::INTEGER AS g, CASE resolved WHEN 'group' THEN gb WHEN 'own' THEN b ELSE 252 END::INTEGER AS b FROM decided""")
 def resolved_styles(spark: SparkSession, d: str) -> DataFrame:
     color = "named_struct('r', CAST(90 + seg_ord % 5 * 9 AS int), 'g', CAST(100 + seg_ord % 7 * 5 AS int), 'b', CAST(110 + seg_ord % 3 * 40 AS int))"
     seen = rows(spark, d).selectExpr(
@@ -660,7 +680,12 @@ def report_lines(spark: SparkSession, d: str) -> DataFrame:
     return traces.report_lines(times, counts.withColumns({"mode": F.lit(None).cast("string"), "recovery": F.lit(None).cast("long"), "translate": F.lit(None).cast("long"), "inpaint": F.lit(None).cast("long")}))
 
 
-@query()
+@query(f"""WITH {LAYOUT_SQL}, looked AS (SELECT concat_ws(':', capture_id, line_ord) AS capture_id, line_ord * 10 + word_ord AS word_idx, length(text) * 9 % 256 AS r, length(text) / 40 AS ink, height FROM words),
+clusters AS (SELECT p.capture_id, p.word_idx, p.r AS pivot, count(*) AS n, sum(q.r)::BIGINT // count(*) AS r FROM looked p JOIN looked q ON p.capture_id = q.capture_id AND abs(p.r - q.r) <= 64 GROUP BY p.capture_id, p.word_idx, p.r),
+best AS (SELECT * FROM clusters QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, word_idx) = 1),
+heights AS (SELECT capture_id, list(height ORDER BY height) AS h FROM looked GROUP BY capture_id),
+inside AS (SELECT b.capture_id, any_value(b.r) AS r, list(l.ink ORDER BY l.ink) AS inks FROM best b JOIN looked l ON l.capture_id = b.capture_id AND abs(l.r - b.pivot) <= 64 GROUP BY b.capture_id)
+SELECT capture_id, r::INTEGER AS r, 100 AS g, 90 AS b, inks[len(inks) // 2 + 1] AS ink, h[len(h) // 2 + 1] AS height FROM inside JOIN heights USING (capture_id)""")
 def word_baselines(spark: SparkSession, d: str) -> DataFrame:
     w = styled_words(spark, d).selectExpr("capture_id", "CAST(word_idx AS bigint) AS word_idx", "color", "length(text) / 40D AS ink", "height")
     return styles.baselines(w).selectExpr("capture_id", "color.r AS r", "color.g AS g", "color.b AS b", "ink", "height")
