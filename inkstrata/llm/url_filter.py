@@ -23,7 +23,7 @@ from inkstrata.llm.common import materialise
 #: (host and path start, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: The SQL below follows a path this far; the query has no such bound.
-DEPTH = 4
+DEPTH = 8
 LONG_SEGMENT = 40
 #: A position is variable with so many values, and fewer than so many urls a value.
 MANY_VALUES, URLS_A_VALUE = 20, 5
