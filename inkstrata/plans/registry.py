@@ -518,10 +518,10 @@ def recent_cache(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def marker_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Styled words marked, translated by the demonstrator, and parsed into runs again."""
+    """Styled words marked, translated by the demonstrator, and parsed into runs again; fragment -1 is plain text."""
     own = fragments(spark, d).select("capture_id", F.col("fragment").cast("int").alias("id"), "first", "last", "colored", "bold")
     marked = translation.marked_text(styled_words(spark, d).select("capture_id", "word_idx", "text"), own)
-    return translation.inline_runs(marked.withColumn("text", F.concat(F.lit("[fallback] "), "text")), own)
+    return translation.inline_runs(marked.withColumn("text", F.concat(F.lit("[fallback] "), "text")), own).fillna(-1, ["fragment"])
 
 
 # --- placement -------------------------------------------------------------
@@ -745,3 +745,23 @@ def document_languages(spark: SparkSession, d: str) -> DataFrame:
     names = lexicon.languages(spark).where("side = 'source'").select("code", "name")
     rows_ = docs(spark, d).selectExpr("doc_id", "lang", f"{T.bridge_code('lang', 'en')} AS bridge", f"{T.language_family('lang')} AS family", f"{T.language_tag('lang')} AS tag")
     return rows_.join(F.broadcast(names), F.lower("code") == F.lower("lang"), "left").drop("lang", "code")
+
+
+# --- SQL made of that of other queries -------------------------------------
+
+ORACLE_SQL["styled_segments"] = f"""WITH kept AS ({ORACLE_SQL["kept_fragments"]}), {LAYOUT_SQL},
+colored AS (SELECT capture_id, any_value(fragment) AS id, any_value(first) AS first, any_value(last) AS last FROM kept WHERE colored GROUP BY capture_id HAVING count(*) = 1),
+sized AS (SELECT concat_ws(':', capture_id, line_ord) AS k, capture_id, line_ord AS seg_ord, text, n FROM lines)
+SELECT sized.capture_id, seg_ord, id::INTEGER AS id, first, last FROM sized JOIN colored ON colored.capture_id = k WHERE n BETWEEN 2 AND 8 AND last - first + 1 <= greatest(1, n // 2) AND lower(coalesce({T.guess_language("text", D)}, '')) <> 'ru'"""
+
+#: Runs of words in and between fragments, with the spaces around them, after what the demonstrator puts first.
+ORACLE_SQL["marker_runs"] = f"""WITH kept AS ({ORACLE_SQL["kept_fragments"]}), {LAYOUT_SQL},
+looks AS (SELECT concat_ws(':', capture_id, line_ord) AS capture_id, line_ord * 10 + word_ord AS word_idx, text FROM words),
+held AS (SELECT looks.*, fragment, colored, bold FROM looks SEMI JOIN kept USING (capture_id) LEFT JOIN kept ON kept.capture_id = looks.capture_id AND word_idx BETWEEN first AND last),
+turned AS (SELECT *, CASE WHEN lag(word_idx) OVER w IS NULL OR lag(fragment) OVER w IS DISTINCT FROM fragment THEN 1 ELSE 0 END AS turn FROM held WINDOW w AS (PARTITION BY capture_id ORDER BY word_idx)),
+numbered AS (SELECT *, sum(turn) OVER (PARTITION BY capture_id ORDER BY word_idx) AS g FROM turned),
+groups AS (SELECT capture_id, g, any_value(fragment) AS fragment, coalesce(any_value(colored), false) AS color, coalesce(any_value(bold), false) AS bold, string_agg(text, ' ' ORDER BY word_idx) AS text FROM numbered GROUP BY capture_id, g),
+bounded AS (SELECT *, lag(fragment) OVER w AS before, min(g) OVER (PARTITION BY capture_id) AS low, max(g) OVER (PARTITION BY capture_id) AS high FROM groups WINDOW w AS (PARTITION BY capture_id ORDER BY g)),
+runs AS (SELECT capture_id, 2 * g AS spot, CASE WHEN fragment IS NOT NULL THEN text ELSE concat(CASE WHEN g = low THEN '[fallback] ' ELSE ' ' END, text, CASE WHEN g < high THEN ' ' ELSE '' END) END AS text, color, bold, fragment FROM bounded
+    UNION ALL SELECT capture_id, 2 * g - 1, CASE WHEN g = low THEN '[fallback] ' ELSE ' ' END, false, false, NULL FROM bounded WHERE fragment IS NOT NULL AND (g = low OR before IS NOT NULL))
+SELECT capture_id, (row_number() OVER (PARTITION BY capture_id ORDER BY spot) - 1)::INTEGER AS run, text, color, bold, coalesce(fragment, -1)::INTEGER AS fragment FROM runs"""
