@@ -1,7 +1,8 @@
 """Label parsing and fuzzy lexicon matching as Spark SQL expressions.
 
 The lexicon is a constant of fixed size inside the expression: matching a text
-is a filter over it, without a join or a Python worker.
+is a filter over its labels of the same first letter, without a join or a
+Python worker.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _lexicon() -> str:
-    return "array(" + ", ".join(f"named_struct('ord', {i}, 'label', '{x}', 'compact', '{compact(x)}')" for i, x in enumerate(LABELS)) + ")"
+def _lexicon(key: str) -> str:
+    """The labels that begin with a key's first letter: no other fits. Null where there are none."""
+    by_letter: dict[str, list[str]] = {}
+    for i, x in enumerate(LABELS):
+        by_letter.setdefault(compact(x)[0], []).append(f"named_struct('ord', {i}, 'label', '{x}', 'compact', '{compact(x)}')")
+    return f"element_at(map({', '.join(f"'{letter}', array({', '.join(own)})" for letter, own in by_letter.items())}), substring({key}, 1, 1))"
 
 
 def best_label(key: str, left: str, right: str) -> str:
@@ -29,7 +34,7 @@ def best_label(key: str, left: str, right: str) -> str:
     most = f"(CASE WHEN length(l.compact) <= 3 THEN 0 WHEN length(l.compact) <= 4 THEN 1 WHEN length(l.compact) <= 8 THEN 2 ELSE 3 END + CASE WHEN {arrow} THEN 2 ELSE 0 END)"
     starts = f"(substring({key}, 1, 1) = substring(l.compact, 1, 1) AND ({arrow} OR length({key}) <= 4 OR length(l.compact) <= 4 OR substring({key}, 1, 2) = substring(l.compact, 1, 2)))"
     fits = f"({key} = l.compact OR ({starts} AND abs(length({key}) - length(l.compact)) <= greatest(2, {most} + 1) AND levenshtein({key}, l.compact) <= {most}))"
-    return f"array_min(transform(filter({_lexicon()}, l -> {fits}), l -> named_struct('eff', greatest(0, levenshtein({key}, l.compact) - CASE WHEN {arrow} THEN 1 ELSE 0 END), 'raw', levenshtein({key}, l.compact), 'ord', l.ord, 'label', l.label)))"
+    return f"array_min(transform(filter({_lexicon(key)}, l -> {fits}), l -> named_struct('eff', greatest(0, levenshtein({key}, l.compact) - CASE WHEN {arrow} THEN 1 ELSE 0 END), 'raw', levenshtein({key}, l.compact), 'ord', l.ord, 'label', l.label)))"
 
 
 def parse_label(x: str) -> str:
