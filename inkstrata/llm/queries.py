@@ -11,22 +11,27 @@ from inkstrata.llm.common import read_table
 
 
 def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null html is empty, repeated rows each get their row (see ``html_text.extract``)."""
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
 def op2_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; null and empty texts have none, repeated rows each get their row (see ``secret_scan.secrets``)."""
     return secret_scan.secrets(read_table(spark, sf_dir, "documents"))
 
 
 def op3_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every url; null urls have an empty host and path (see ``url_filter.judge``)."""
     return url_filter.judge(read_table(spark, sf_dir, "pages"))
 
 
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document; null and empty texts are copies of each other, a null id has no class (see ``near_dedup.near_duplicates``)."""
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op5_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document; a null or empty text is its end token alone (see ``language_model.score``)."""
     return language_model.score(read_table(spark, sf_dir, "documents"))
 
 
@@ -37,22 +42,27 @@ def tokenizer_path() -> str:
 
 
 def op6_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence; a null or empty text is its end id alone (see ``packing.pack``)."""
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text stored as media and read back; null counts as empty, equal texts have equal values (see ``matroska.media_columns``)."""
     return matroska.media_columns(read_table(spark, sf_dir, "documents"))
 
 
 def op8_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; empty texts have the score of the bias (see ``toxicity.score``)."""
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op9_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold test items; null and empty texts hold none (see ``decontamination.contaminated``)."""
     return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op10_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; texts without tokens have the score of the bias (see ``quality.score``)."""
     return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
