@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import decontamination, html_text, language_model, matroska, near_dedup, packing, quality, secret_scan, toxicity, url_filter
+from inkstrata.llm import ball_tree, decontamination, divergence, html_text, language_model, license_scan, matroska, near_dedup, packing, quality, secret_scan, toxicity, url_filter
 from inkstrata.llm.common import read_table
 
 
@@ -66,6 +66,21 @@ def op10_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every whole vector; others give no row (see ``ball_tree.cluster``)."""
+    return ball_tree.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document; null and empty texts have none (see ``license_scan.licenses``)."""
+    return license_scan.licenses(read_table(spark, sf_dir, "documents")).drop("links")
+
+
+def op13_group_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and by which terms; nulls are empty texts (see ``divergence.divergence``)."""
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,8 +94,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_factorization_machine,
         op9_bm25_wand,
         op10_subword_embeddings,
+        op11_ball_tree,
+        op12_set_join,
+        op13_group_tiles,
     )
 }
 
 #: SQL for the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {"op3_path_templates": url_filter.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_path_templates": url_filter.oracle_sql(), "op11_ball_tree": ball_tree.oracle_sql(), "op12_set_join": license_scan.oracle_sql(), "op13_group_tiles": divergence.oracle_sql()}
