@@ -7,7 +7,10 @@ Python worker.
 
 from __future__ import annotations
 
-from inkstrata.functions.text import LEFT_ARROWS, RIGHT_ARROWS, WORD, WRAPPERS, normalize, plain_key
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkstrata.functions.text import CONFUSABLES, LEFT_ARROWS, RIGHT_ARROWS, WORD, WRAPPERS, normalize, plain_key
 from inkstrata.sources.lexicon import LABELS, compact
 
 
@@ -50,3 +53,20 @@ def parse_label(x: str) -> str:
 def compose(parsed: str) -> str:
     """Prefix, label and suffix with spaces between those there are."""
     return f"concat_ws(' ', nullif({parsed}.prefix, ''), {parsed}.label, nullif({parsed}.suffix, ''))"
+
+
+def may_be_label(x: str) -> str:
+    """A cheap test that every text with a label passes: its first letters, or an arrow.
+
+    Tokens of one letter at the ends don't count, so a key is what longer tokens
+    make.  Beyond five letters a key shares two letters with its label.
+    """
+    key = f"lower(translate(array_join(regexp_extract_all({x}, r'[{WORD}]{{2,}}', 0), ''), r'{CONFUSABLES[0]}', r'{CONFUSABLES[1]}'))"
+    starts = lambda n: ", ".join(f"'{s}'" for s in sorted({compact(label)[:n] for label in LABELS}))
+    return f"((length({key}) <= 20 AND (substring({key}, 1, 2) IN ({starts(2)}) OR (length({key}) <= 5 AND substring({key}, 1, 1) IN ({starts(1)})))) OR {x} RLIKE r'[{LEFT_ARROWS}{RIGHT_ARROWS}]')"
+
+
+def labelled(texts: DataFrame) -> DataFrame:
+    """(text, parsed) of the distinct texts that are labels; each is matched once."""
+    once = texts.where(F.expr(may_be_label("text"))).select("text").distinct()
+    return once.withColumn("parsed", F.expr(parse_label("text"))).where("parsed IS NOT NULL")

@@ -17,6 +17,7 @@ from inkstrata.functions import text as T
 from inkstrata.functions.dialect import DUCKDB as D
 from inkstrata.functions.labels import parse_label
 from inkstrata.operators import fusion, modes, overlay, pixels, placement, readings, refinement, row_splits, segmentation, styles, traces, translation
+from inkstrata.plans import layout_sql as L
 from inkstrata.sources import lexicon
 from inkstrata.sources.layout import LAYOUT_SQL, lines_of, table, words_of
 from inkstrata.sources.stages import stage
@@ -62,16 +63,16 @@ def kind_of(count: str, dialect=T.SPARK) -> str:  # noqa: ANN001
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
     """Lines as segments."""
-    return lines(spark, d).select("capture_id", F.col("line_ord").cast("int").alias("seg_ord"), "text", "left", "top", "width", "height", F.expr(kind_of("size(words)")).alias("kind"))
+    return lines(spark, d).select("capture_id", F.col("line_ord").alias("seg_ord"), "text", "left", "top", "width", "height", F.expr(kind_of("size(words)")).alias("kind"))
 
 
 def elements(spark: SparkSession, d: str) -> DataFrame:
     """Every word as an automation row, a little off."""
-    return words(spark, d).select("capture_id", F.expr("CAST(line_ord * 10 + word_ord AS int)").alias("seg_ord"), "text", (F.col("left") + 2).alias("left"), (F.col("top") + 1).alias("top"), "width", "height", F.lit("UiLabel").alias("kind"))
+    return words(spark, d).select("capture_id", F.expr("line_ord * 10 + word_ord").alias("seg_ord"), "text", (F.col("left") + 2).alias("left"), (F.col("top") + 1).alias("top"), "width", "height", F.lit("UiLabel").alias("kind"))
 
 
-SEGMENTS_SQL = f'{LAYOUT_SQL},\nsegs AS (SELECT capture_id, line_ord::INTEGER AS seg_ord, text, "left", top, width, height, {kind_of("n", D)} AS kind FROM lines)'
-ELEMENTS_SQL = f"""{SEGMENTS_SQL},\nelements AS (SELECT capture_id, (line_ord * 10 + word_ord)::INTEGER AS seg_ord, text, "left" + 2 AS "left", top + 1 AS top, width, height, 'UiLabel' AS kind FROM words)"""
+SEGMENTS_SQL = f'{LAYOUT_SQL},\nsegs AS (SELECT capture_id, line_ord AS seg_ord, text, "left", top, width, height, {kind_of("n", D)} AS kind FROM lines)'
+ELEMENTS_SQL = f"""{SEGMENTS_SQL},\nelements AS (SELECT capture_id, line_ord * 10 + word_ord AS seg_ord, text, "left" + 2 AS "left", top + 1 AS top, width, height, 'UiLabel' AS kind FROM words)"""
 
 # --- text ------------------------------------------------------------------
 
@@ -188,25 +189,29 @@ def structured_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def single_token_rows(spark: SparkSession, d: str) -> DataFrame:
-    return row_splits.lines_from(row_splits.single_token_row(row_splits.with_word_measures(lines(spark, d)))).drop("words")
+    measured, _ = row_splits.with_labels(row_splits.with_word_measures(lines(spark, d)), lines(spark, d))
+    return row_splits.lines_from(row_splits.single_token_row(measured)).drop("words")
 
 
-@query()
+@query(f"WITH RECURSIVE {LAYOUT_SQL}, {L.LEXICON}, {L.split('lines', 'words', 'parts')} SELECT * FROM parts")
 def split_rows(spark: SparkSession, d: str) -> DataFrame:
     return row_splits.split_rows(lines(spark, d)).drop("words")
 
 
-@query()
+@query(f'WITH RECURSIVE {LAYOUT_SQL}, {L.LEXICON}, {L.merged("lines", "m")} SELECT * EXCLUDE (n) FROM m')
 def merged_rows(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.merged_rows(lines(spark, d)).drop("words")
 
 
-@query()
+@query(f"WITH RECURSIVE {SEGMENTS_SQL}, given AS (SELECT * EXCLUDE (seg_ord), seg_ord AS line_ord FROM segs), {L.blocks('given', 'b')} SELECT * FROM b")
 def paragraph_blocks(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.blocks(rows(spark, d).withColumnRenamed("seg_ord", "line_ord"))
 
 
-@query()
+FLOW_SQL = f"{LAYOUT_SQL}, {L.LEXICON}, {L.segments('flow')}"
+
+
+@query(f"WITH RECURSIVE {FLOW_SQL} SELECT * FROM flow")
 def layout_segments(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.segments(lines(spark, d))
 
@@ -229,23 +234,11 @@ def slipped(spark: SparkSession, d: str) -> DataFrame:
     return w.withColumn("l", F.expr(f"{_LABEL_ARRAY}[CAST(n % {len(lexicon.LABELS)} AS int)]")).select("capture_id", "line_ord", "word_ord", "text", F.expr(_SLIP.format(n="n")).alias("slip"))
 
 
-_LEXICON_SQL = "lexicon(ord, label, compact) AS (" + lexicon.values_sql([(i, x, lexicon.compact(x)) for i, x in enumerate(lexicon.LABELS)]) + ")"
-
-
-_FUZZY_SQL = f"""{LAYOUT_SQL}, {_LEXICON_SQL},
+_FUZZY_SQL = f"""{LAYOUT_SQL}, {L.LEXICON},
 picked AS (SELECT capture_id, line_ord, word_ord, text AS word, capture_id + 3 * line_ord + word_ord AS n FROM words),
 typed AS (SELECT p.*, {_SLIP.format(n='n')} AS slip FROM (SELECT picked.*, lexicon.label AS l FROM picked JOIN lexicon ON lexicon.ord = n % {len(lexicon.LABELS)}) p),
--- the second engine's edit distance counts bytes: a letter that no label has is one placeholder
-distinct_texts AS (SELECT word AS text FROM typed UNION SELECT slip FROM typed),
-bare AS (SELECT text, regexp_extract_all(regexp_replace(regexp_replace(text, '^[<‹«←]+', ''), '[>›»→]+$', ''), '[\\p{{L}}\\p{{Nd}}]+') AS t FROM distinct_texts),
-cored AS (SELECT text, list_filter(t, lambda x: length(x) > 1) AS long, t FROM bare),
-tokens AS (SELECT text, CASE WHEN len(long) > 0 THEN t[list_position(list_transform(t, lambda x: length(x) > 1), true):len(t) + 1 - list_position(list_reverse(list_transform(t, lambda x: length(x) > 1)), true)] ELSE t[-1:] END AS u FROM cored),
-plain AS (SELECT text, CASE WHEN len(u) BETWEEN 1 AND 2 THEN array_to_string(u, ' ') ELSE '' END AS v FROM tokens),
-keyed AS (SELECT text, {T.plain_key('v', D)} AS spaced, regexp_replace(replace({T.plain_key('v', D)}, ' ', ''), '[^ -~]', chr(1), 'g') AS key FROM plain),
-fits AS (SELECT text, label, ord, levenshtein(key, compact) AS dist FROM keyed, lexicon WHERE key <> '' AND length(spaced) <= 18 AND (key = compact OR (key[1] = compact[1] AND (length(key) <= 4 OR length(compact) <= 4 OR key[1:2] = compact[1:2])
-    AND abs(length(key) - length(compact)) <= greatest(2, 1 + CASE WHEN length(compact) <= 3 THEN 0 WHEN length(compact) <= 4 THEN 1 WHEN length(compact) <= 8 THEN 2 ELSE 3 END)
-    AND levenshtein(key, compact) <= CASE WHEN length(compact) <= 3 THEN 0 WHEN length(compact) <= 4 THEN 1 WHEN length(compact) <= 8 THEN 2 ELSE 3 END))),
-best AS (SELECT text, arg_min(label, dist * 1000 + ord) AS label FROM fits GROUP BY text)"""
+both_texts AS (SELECT word AS text FROM typed UNION SELECT slip FROM typed),
+{L.labels('both_texts', 'best')}"""
 
 
 @query(f"""WITH {_FUZZY_SQL}
@@ -258,7 +251,7 @@ def fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
     return typed.join(matched, "text").join(again, "slip").select("capture_id", "line_ord", "word_ord", "text", "label", "slip", "slip_label")
 
 
-ORACLE_SQL["single_token_rows"] = f"""WITH {_FUZZY_SQL},
+ORACLE_SQL["single_token_rows"] = f"""WITH {LAYOUT_SQL}, {L.LEXICON}, {L.labels('words', 'best')},
 gaps AS (SELECT words.*, best.label, "left" - lag("left" + width) OVER (PARTITION BY capture_id, line_ord ORDER BY word_ord) AS gap FROM words LEFT JOIN best USING (text)),
 stats AS (SELECT capture_id, line_ord, count(*) AS n, median(height) AS mh, coalesce(median(gap) FILTER (gap > 0), 0) AS mg, bool_and(coalesce(gap > 0, true)) AS apart, max("left" + width) - min("left") AS lw, sum(width) / greatest(1, max("left" + width) - min("left")) AS occupancy,
     bool_and(length(text) BETWEEN 1 AND 18 AND NOT {T.sentence_punctuation('text', D)}) AS plain, bool_and(length(text) <= 12) AS short, count(*) FILTER (({T.header_word('text', D)}) OR label IS NOT NULL) AS known FROM gaps GROUP BY capture_id, line_ord)
@@ -270,10 +263,19 @@ WHERE n BETWEEN 3 AND 10 AND plain AND apart AND occupancy <= 0.78 AND lw / grea
 _SHORT_D = f"(width > 0 AND height > 0 AND kind <> 'Paragraph' AND {T.has_letter('text', D)} AND {T.word_count(T.normalize('text', D), D)} <= 4 AND length({T.normalize('text', D)}) <= 36 AND height <= 42)"
 
 
-@query(f"""WITH {SEGMENTS_SQL}, marked AS (SELECT *, {_SHORT_D} AS short, round(top + height / 2) AS anchor FROM segs),
+def modes_sql(segs: str) -> str:
+    return f"""marked AS (SELECT *, {_SHORT_D} AS short, round(top + height / 2) AS anchor FROM {segs}),
 dense AS (SELECT capture_id, max(c) >= 4 AS dense_row FROM (SELECT capture_id, anchor, count(*) AS c FROM marked WHERE short GROUP BY ALL) GROUP BY capture_id),
-counts AS (SELECT capture_id, count(*) AS n, count(*) FILTER (kind = 'Paragraph') AS paragraphs, count(*) FILTER (kind = 'TextLine') AS lines, count(*) FILTER (kind = 'UiLabel') AS labels, count(*) FILTER (short) AS short, median(height) AS median_height FROM marked GROUP BY capture_id)
-SELECT *, {modes.MODE} AS mode FROM (SELECT counts.*, coalesce(dense_row, false) AS dense_row FROM counts LEFT JOIN dense USING (capture_id))""")
+counts AS (SELECT capture_id, count(*) AS n, count(*) FILTER (kind = 'Paragraph') AS paragraphs, count(*) FILTER (kind = 'TextLine') AS lines, count(*) FILTER (kind = 'UiLabel') AS labels, count(*) FILTER (short) AS short, coalesce(median(height) FILTER (width > 0 AND height > 0), 0) AS median_height FROM marked GROUP BY capture_id),
+moded AS (SELECT *, {modes.MODE} AS mode FROM (SELECT counts.*, coalesce(dense_row, false) AS dense_row FROM counts LEFT JOIN dense USING (capture_id)))"""
+
+
+def policy_sql(segs: str) -> str:
+    return f"""{L.visual_rows(segs, 'vis')},
+helped AS (SELECT *, n BETWEEN 1 AND 14 AND NOT (paragraphs > 0 AND n > 6) AND short >= greatest(2, ceil(0.6 * n)) AND visual_rows <= 4 AND most_in_row >= 2 AS use FROM (SELECT capture_id, count(*) AS n, count(*) FILTER (kind = 'Paragraph') AS paragraphs, count(*) FILTER ({_SHORT_D}) AS short FROM {segs} GROUP BY capture_id) JOIN vis USING (capture_id))"""
+
+
+@query(f"WITH {SEGMENTS_SQL}, {modes_sql('segs')} SELECT * FROM moded")
 def capture_modes(spark: SparkSession, d: str) -> DataFrame:
     return modes.capture_modes(rows(spark, d))
 
@@ -284,7 +286,7 @@ def dense_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return modes.dense_neighbours(rows(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {SEGMENTS_SQL}, {policy_sql('segs')} SELECT * FROM helped")
 def automation_policy(spark: SparkSession, d: str) -> DataFrame:
     return modes.automation_policy(rows(spark, d))
 
@@ -355,7 +357,9 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 VOTES_SQL = f"""{LAYOUT_SQL},
-originals AS (SELECT concat_ws(':', capture_id, line_ord, word_ord) AS case_id, text AS original FROM words),
+cases AS (SELECT concat_ws(':', capture_id, line_ord, word_ord) AS of_word, text AS case_id FROM words),
+-- a word's readings follow from its text: each distinct one is decided once
+originals AS (SELECT DISTINCT case_id, case_id AS original FROM cases),
 votes AS (SELECT case_id, {T.normalize('original', D)} AS original, idx, {T.label_text('reading', D)} AS text FROM (SELECT case_id, original, unnest(range(4)) AS idx,
     unnest([concat(substring(original, 1, 1), ' ', substring(original, 2)), original, substring(original, 1, length(original) - 1), concat(substring(original, 1, 1), ' ', substring(original, 2))]) AS reading FROM originals)),
 usable AS (SELECT *, {T.compact_key('text', D)} AS key FROM votes WHERE text <> '' AND {T.compact_key('text', D)} <> ''),
@@ -365,13 +369,13 @@ groups AS (SELECT case_id, key, count(*) AS support, max(score) AS top, min(idx)
     (list(text ORDER BY score DESC, spaces, idx))[1] AS best FROM cands GROUP BY case_id, key)"""
 
 
-@query(f"WITH {VOTES_SQL}, won AS (SELECT case_id, (list(best ORDER BY rank DESC, first))[1] AS choice FROM groups GROUP BY case_id) SELECT case_id, coalesce(choice, {T.normalize('original', D)}) AS choice FROM originals LEFT JOIN won USING (case_id)")
+@query(f"WITH {VOTES_SQL}, won AS (SELECT case_id, (list(best ORDER BY rank DESC, first))[1] AS choice FROM groups GROUP BY case_id) SELECT of_word AS case_id, coalesce(choice, {T.normalize('case_id', D)}) AS choice FROM cases LEFT JOIN won USING (case_id)")
 def voted_readings(spark: SparkSession, d: str) -> DataFrame:
     return readings.winners(votes(spark, d))
 
 
 @query(f"""WITH {VOTES_SQL}, own AS (SELECT case_id, key, count(*) AS support, max(score) AS top, min(idx) AS first, (list(text ORDER BY score DESC, spaces, idx))[1] AS best FROM cands WHERE idx >= 0 GROUP BY case_id, key)
-SELECT case_id, (list(best ORDER BY top DESC, first))[1] AS choice FROM own WHERE support >= 2 AND top >= 18 GROUP BY case_id""")
+SELECT of_word AS case_id, choice FROM cases JOIN (SELECT case_id, (list(best ORDER BY top DESC, first))[1] AS choice FROM own WHERE support >= 2 AND top >= 18 GROUP BY case_id) USING (case_id)""")
 def agreed_readings(spark: SparkSession, d: str) -> DataFrame:
     return readings.consensus(votes(spark, d))
 
@@ -585,8 +589,8 @@ def visual_splits(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of each line's words cut the line where it may hold several labels."""
     from inkstrata.operators import visual_split
 
-    segs = lines(spark, d).select("capture_id", F.col("line_ord").cast("int").alias("seg_ord"), "text", "left", "top", "width", "height", F.expr(kind_of("size(words)")).alias("kind"), F.lit(1).alias("source_lines"), F.lit("UiDense").alias("mode"), "words")
-    boxes = words(spark, d).selectExpr("capture_id", "CAST(line_ord AS int) AS seg_ord", "word_ord AS box_ord", "left", "top", "width", "height")
+    segs = lines(spark, d).select("capture_id", F.col("line_ord").alias("seg_ord"), "text", "left", "top", "width", "height", F.expr(kind_of("size(words)")).alias("kind"), F.lit(1).alias("source_lines"), F.lit("UiDense").alias("mode"), "words")
+    boxes = words(spark, d).selectExpr("capture_id", "line_ord AS seg_ord", "word_ord AS box_ord", "left", "top", "width", "height")
     return visual_split.split_by_boxes(segs, boxes)
 
 
@@ -600,26 +604,26 @@ def recognitions(spark: SparkSession, d: str, segments: DataFrame) -> DataFrame:
     return seen.select("capture_id", "seg_ord", F.explode(F.expr(texts)).alias("r")).select("capture_id", "seg_ord", "r.*")
 
 
-@query()
+@query(f"WITH RECURSIVE {SEGMENTS_SQL}, {modes_sql('segs')}, {policy_sql('segs')} SELECT capture_id, mode, mode = 'UiDense' OR (mode = 'Mixed' AND coalesce(helped.use, false)) AS use FROM moded LEFT JOIN helped USING (capture_id)")
 def automation_use(spark: SparkSession, d: str) -> DataFrame:
     return overlay.automation_use(rows(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FLOW_SQL} SELECT capture_id, seg_ord AS line_ord, CASE WHEN source_lines = 1 THEN trim(coalesce(line_text, text)) ELSE text END AS source_text, {T.normalize('text', D)} AS text, "left", top, width, height, kind, source_lines, CASE WHEN line_height IS NULL THEN 11.5 ELSE round(least(24, greatest(9, 0.94::DOUBLE * line_height)), 1) END::DOUBLE AS font FROM flow""")
 def overlay_rows(spark: SparkSession, d: str) -> DataFrame:
     return overlay.overlay_rows(segmentation.segments(lines(spark, d)))
 
 
 @query()
 def refined_segments(spark: SparkSession, d: str) -> DataFrame:
-    segments = segmentation.segments(lines(spark, d))
-    return refinement.refined(segments, modes.capture_modes(segments), recognitions(spark, d, segments))
+    segments = stage(segmentation.segments(lines(spark, d)), "segments")
+    return refinement.refined(segments, stage(modes.capture_modes(segments), "modes"), stage(recognitions(spark, d, segments), "recognitions"))
 
 
 @query()
 def recovered_labels(spark: SparkSession, d: str) -> DataFrame:
-    segments = segmentation.segments(lines(spark, d))
-    return refinement.recovered(segments, recognitions(spark, d, segments))
+    segments = stage(segmentation.segments(lines(spark, d)), "segments")
+    return refinement.recovered(segments, stage(recognitions(spark, d, segments), "recognitions"))
 
 
 @query()
@@ -749,6 +753,8 @@ def document_languages(spark: SparkSession, d: str) -> DataFrame:
 
 # --- SQL made of that of other queries -------------------------------------
 
+ORACLE_SQL["segmentation_modes"] = f"WITH RECURSIVE {FLOW_SQL}, {modes_sql('flow')} SELECT * FROM moded"
+
 ORACLE_SQL["styled_segments"] = f"""WITH kept AS ({ORACLE_SQL["kept_fragments"]}), {LAYOUT_SQL},
 colored AS (SELECT capture_id, any_value(fragment) AS id, any_value(first) AS first, any_value(last) AS last FROM kept WHERE colored GROUP BY capture_id HAVING count(*) = 1),
 sized AS (SELECT concat_ws(':', capture_id, line_ord) AS k, capture_id, line_ord AS seg_ord, text, n FROM lines)

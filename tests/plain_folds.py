@@ -1,39 +1,16 @@
-"""Order-dependent folds over one capture: small functions on plain rows, and the grouped map that runs them.
-
-Spark deals rows by capture and hands each group to its fold; a capture is one
-screen or document.  Ties follow the input ordinal, so results do not depend on
-how rows arrive.
-"""
+"""Plain versions of the order-dependent folds: one capture as a list of rows, for tests."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from typing import Any
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
-
 from inkstrata.functions.text import CONFUSABLES, LEFT_ARROWS, RIGHT_ARROWS
 from inkstrata.sources.lexicon import LABELS, compact
 
 Row = dict[str, Any]
 
 
-def per_capture(df: DataFrame, fold: Callable[[list[Row]], list[Row]], schema: str, key: str = "capture_id") -> DataFrame:
-    """``fold`` over the rows of each capture."""
-    names = [f.name for f in _parse_datatype_string(schema).fields]
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(table: pa.Table) -> pa.Table:
-        out = fold(table.to_pylist())
-        return pa.Table.from_pylist([{n: r.get(n) for n in names} for r in out], schema=arrow)
-
-    return df.groupBy(key).applyInArrow(run, schema)
-
-
 def normalized(text: str | None) -> str:
     return " ".join((text or "").split())
 

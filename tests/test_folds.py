@@ -3,7 +3,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkstrata.operators import folds
+import plain_folds as folds
 
 WORD = st.sampled_from(["Save", "File", "alpha", "Beta-", "x", "longer words here", "7", ".", "Extract All"])
 BOX = st.tuples(st.integers(0, 300), st.integers(0, 80), st.integers(1, 120), st.integers(6, 24))

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from inkstrata.operators import folds, fusion, modes, row_splits, segmentation
+import plain_folds as folds
+from inkstrata.operators import fusion, modes, row_splits, segmentation
 from inkstrata.sources import layout
 
 

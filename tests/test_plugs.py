@@ -17,7 +17,7 @@ def test_visual_split(spark):
     box = [(1, 0, i, x, 32.0, w, 18.0) for i, (x, w) in enumerate(((14.0, 54.0), (92.0, 38.0), (149.0, 34.0), (202.0, 66.0), (288.0, 62.0)))]
     schema = f"capture_id long, seg_ord int, text string, left double, top double, width double, height double, kind string, source_lines int, mode string, words array<{layout.WORD_TYPE}>"
     rows = [(1, 0, "Archives Types Parts Attributes Medialnfo", 10.0, 28.0, 350.0, 26.0, "TextLine", 1, "UiDense", None), (2, 0, "A paragraph stays as it is", 0.0, 0.0, 300.0, 20.0, "Paragraph", 1, "DocumentLike", None)]
-    out = visual_split.split_by_boxes(spark.createDataFrame(rows, schema), spark.createDataFrame(box, visual_split.BOX)).orderBy("capture_id", "part").collect()
+    out = visual_split.split_by_boxes(spark.createDataFrame(rows, schema), spark.createDataFrame(box, "capture_id long, seg_ord long, box_ord int, left double, top double, width double, height double")).orderBy("capture_id", "part").collect()
     assert [(r["text"], r["kind"]) for r in out] == [*((t, "UiLabel") for t in ("Archives", "Types", "Parts", "Attributes", "Medialnfo")), ("A paragraph stays as it is", "Paragraph")]
 
 

@@ -1,8 +1,8 @@
 from pyspark.sql import functions as F
 
+import plain_folds as folds
 from inkstrata.functions import text as T
 from inkstrata.functions.labels import compose, parse_label
-from inkstrata.operators import folds
 
 
 def values(spark, rows, expression):
