@@ -55,18 +55,48 @@ def compose(parsed: str) -> str:
     return f"concat_ws(' ', nullif({parsed}.prefix, ''), {parsed}.label, nullif({parsed}.suffix, ''))"
 
 
-def may_be_label(x: str) -> str:
-    """A cheap test that every text with a label passes: its first letters, or an arrow.
+def letters_of(word: str) -> str:
+    """What a word gives to the key of a text: its tokens of two letters or more; a mark where it has an arrow."""
+    return f"CASE WHEN {word} RLIKE r'[{LEFT_ARROWS}{RIGHT_ARROWS}]' THEN '<' ELSE lower(translate(array_join(regexp_extract_all({word}, r'[{WORD}]{{2,}}', 0), ''), r'{CONFUSABLES[0]}', r'{CONFUSABLES[1]}')) END"
 
-    Tokens of one letter at the ends don't count, so a key is what longer tokens
-    make.  Beyond five letters a key shares two letters with its label.
+
+def may_be_label(letters: str) -> str:
+    """A cheap test that every text with a label passes, by the letters of its words: how it begins, and its length.
+
+    A key is at most as much longer or shorter than its label as letters may
+    differ; beyond four letters of either it shares two with it.
     """
-    key = f"lower(translate(array_join(regexp_extract_all({x}, r'[{WORD}]{{2,}}', 0), ''), r'{CONFUSABLES[0]}', r'{CONFUSABLES[1]}'))"
-    starts = lambda n: ", ".join(f"'{s}'" for s in sorted({compact(label)[:n] for label in LABELS}))
-    return f"((length({key}) <= 20 AND (substring({key}, 1, 2) IN ({starts(2)}) OR (length({key}) <= 5 AND substring({key}, 1, 1) IN ({starts(1)})))) OR {x} RLIKE r'[{LEFT_ARROWS}{RIGHT_ARROWS}]')"
+    twos, ones = set(), set()
+    for label in map(compact, LABELS):
+        most = 0 if len(label) <= 3 else 1 if len(label) <= 4 else 2 if len(label) <= 8 else 3
+        for n in range(len(label) - most, len(label) + most + 1):
+            twos.add(f"{label[:2]}{n}")
+            if min(n, len(label)) <= 4:
+                ones.add(f"{label[:1]}{n}")
+    listed = lambda x: ", ".join(f"'{s}'" for s in sorted(x))
+    return f"(concat(substring({letters}, 1, 2), length({letters})) IN ({listed(twos)}) OR concat(substring({letters}, 1, 1), length({letters})) IN ({listed(ones)}) OR instr({letters}, '<') > 0)"
 
 
 def labelled(texts: DataFrame) -> DataFrame:
-    """(text, parsed) of the distinct texts that are labels; each is matched once."""
-    once = texts.where(F.expr(may_be_label("text"))).select("text").distinct()
-    return once.withColumn("parsed", F.expr(parse_label("text"))).where("parsed IS NOT NULL")
+    """(text, parsed) of the distinct texts that are labels: each is matched once, by a join with the lexicon on the first letter.
+
+    The lexicon is a constant of fixed size, so it is broadcast.  Matching is
+    work, not bytes: the texts are dealt to all tasks, however few bytes they have.
+    """
+    spark = texts.sparkSession
+    once = texts.select("text").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    head, tail = f"r'^[{LEFT_ARROWS}]+'", f"r'[{RIGHT_ARROWS}]+$'"
+    rows = once.withColumn("n", F.expr(normalize("text"))).withColumns({"prefix": F.expr(f"regexp_extract(n, {head}, 0)"), "rest": F.expr(f"regexp_replace(n, {head}, '')")})
+    rows = rows.withColumns({"suffix": F.expr(f"regexp_extract(rest, {tail}, 0)"), "t": F.expr(f"regexp_extract_all(regexp_replace(rest, {tail}, ''), r'[{WORD}]+', 0)")})
+    # single letters at the ends go, unless there is nothing else
+    rows = rows.withColumn("u", F.expr(let("i", "filter(sequence(1, greatest(1, size(t))), j -> length(try_element_at(t, j)) > 1)", "CASE WHEN size(i) > 0 THEN slice(t, i[0], i[size(i) - 1] - i[0] + 1) WHEN size(t) > 0 THEN slice(t, size(t), 1) ELSE t END")))
+    # no filter here: it would be moved down, and with it all work above repeated; an empty key meets no label
+    rows = rows.withColumn("spaced", F.expr(f"CASE WHEN size(u) BETWEEN 1 AND 2 THEN {plain_key("array_join(u, ' ')")} ELSE '' END")).withColumn("key", F.expr("CASE WHEN length(spaced) <= 18 THEN replace(spaced, ' ', '') ELSE '' END"))
+    lexicon = spark.createDataFrame([(i, x, compact(x), compact(x)[0]) for i, x in enumerate(LABELS)], "ord int, label string, compact string, initial string")
+    pairs = rows.select("text", "prefix", "suffix", "key", F.coalesce(F.substring("key", 1, 1), F.lit("")).alias("initial")).join(F.broadcast(lexicon), "initial")
+    arrow = "((prefix <> '' AND label IN ('Back', 'Previous')) OR (suffix <> '' AND label IN ('Next', 'Continue')))"
+    pairs = pairs.withColumn("arrow", F.expr(f"CASE WHEN {arrow} THEN 1 ELSE 0 END")).withColumn("most", F.expr("CASE WHEN length(compact) <= 3 THEN 0 WHEN length(compact) <= 4 THEN 1 WHEN length(compact) <= 8 THEN 2 ELSE 3 END + 2 * arrow"))
+    near = "(arrow = 1 OR length(key) <= 4 OR length(compact) <= 4 OR substring(key, 1, 2) = substring(compact, 1, 2)) AND abs(length(key) - length(compact)) <= greatest(2, most + 1)"
+    pairs = pairs.where(F.expr(f"key = compact OR ({near})")).withColumn("raw", F.levenshtein("key", "compact")).where("key = compact OR raw <= most")
+    best = F.min(F.struct(F.greatest(F.lit(0), F.col("raw") - F.col("arrow")).alias("eff"), "raw", "ord", "label", "prefix", "suffix"))
+    return pairs.groupBy("text").agg(best.alias("b")).select("text", F.struct("b.prefix", "b.label", "b.suffix").alias("parsed"))

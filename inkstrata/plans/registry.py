@@ -7,6 +7,7 @@ integer arithmetic, so that both engines see the same input.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,12 @@ from pyspark.sql import functions as F
 from inkstrata.functions import geometry as G
 from inkstrata.functions import text as T
 from inkstrata.functions.dialect import DUCKDB as D
-from inkstrata.functions.labels import parse_label
+from inkstrata.functions.labels import labelled
 from inkstrata.operators import fusion, modes, overlay, pixels, placement, readings, refinement, row_splits, segmentation, styles, traces, translation
 from inkstrata.plans import layout_sql as L
 from inkstrata.sources import lexicon
 from inkstrata.sources.layout import LAYOUT_SQL, lines_of, table, words_of
-from inkstrata.sources.stages import stage
+from inkstrata.sources.stages import spread, stage, with_stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,18 +42,23 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-#: Layout tables that this session has written, by application and folder.
-_LAYOUTS: dict[tuple[str, str], DataFrame] = {}
+#: Layout tables that this session has written, by application, folder and its files.
+_LAYOUTS: dict[tuple[str, ...], DataFrame] = {}
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """The layout table of a folder's documents: written once in a session, shared by its queries, read by column."""
-    key = (spark.sparkContext.applicationId, d)
+    given = docs(spark, d)
+    # a folder whose files have changed is another table
+    key = (spark.sparkContext.applicationId, d, hashlib.sha256("\n".join(sorted(given.inputFiles())).encode()).hexdigest())
     if key not in _LAYOUTS:
-        _LAYOUTS[key] = stage(lines_of(docs(spark, d)), "layout")
+        _LAYOUTS[key] = stage(lines_of(spread(given.select("doc_id", "text"))), "layout")
     return _LAYOUTS[key]
 
 
+with_stages(_LAYOUTS.clear)
+
+
 def words(spark: SparkSession, d: str) -> DataFrame:
     return words_of(lines(spark, d))
 
@@ -246,9 +252,9 @@ SELECT capture_id, line_ord, word_ord, word AS text, a.label, slip, b.label AS s
 def fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
     """Each distinct text is matched once; texts and their labels meet again by text."""
     typed = slipped(spark, d)
-    matched = typed.select("text").union(typed.select("slip")).distinct().withColumn("label", F.expr(f"{parse_label('text')}.label"))
+    matched = labelled(typed.select("text").union(typed.select("slip"))).select("text", F.col("parsed.label").alias("label"))
     again = matched.select(F.col("text").alias("slip"), F.col("label").alias("slip_label"))
-    return typed.join(matched, "text").join(again, "slip").select("capture_id", "line_ord", "word_ord", "text", "label", "slip", "slip_label")
+    return typed.join(matched, "text", "left").join(again, "slip", "left").select("capture_id", "line_ord", "word_ord", "text", "label", "slip", "slip_label")
 
 
 ORACLE_SQL["single_token_rows"] = f"""WITH {LAYOUT_SQL}, {L.LEXICON}, {L.labels('words', 'best')},
