@@ -312,12 +312,23 @@ def suppressed_rows(spark: SparkSession, d: str) -> DataFrame:
     return fusion.suppressed(rows(spark, d), elements(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ELEMENTS_SQL}, scored_p AS (SELECT *, {T.line_score('text', D)} AS score FROM segs), scored_a AS (SELECT *, {T.line_score('text', D)} AS score FROM elements),
+related AS (SELECT p.capture_id, p.seg_ord AS p_ord, a.seg_ord AS a_ord, p.kind, upper(p.text) <> upper(a.text) AND {G.coverage('p', 'a', D)} >= 0.28 AND (a.score >= p.score OR p.width > 1.45 * a.width) AS better FROM scored_p p JOIN scored_a a ON p.capture_id = a.capture_id AND {G.related('p', 'a', D)}),
+gone AS (SELECT capture_id, p_ord AS seg_ord FROM related WHERE kind <> 'Paragraph' GROUP BY capture_id, p_ord HAVING count(*) >= 2 OR bool_or(better)),
+beside AS (SELECT capture_id, a_ord AS seg_ord, bool_or(kind <> 'Paragraph') AS beside FROM related GROUP BY capture_id, a_ord),
+prose AS (SELECT capture_id, bool_or(kind = 'Paragraph') AS prose FROM segs GROUP BY capture_id),
+given AS (SELECT capture_id, upper(trim(text)) AS name, seg_ord * 2 AS ord, seg_ord, 'primary' AS source, text, "left", top, width, height, kind FROM segs ANTI JOIN gone USING (capture_id, seg_ord)
+    UNION ALL SELECT capture_id, upper(trim(text)), seg_ord * 2 + 1, seg_ord, 'automation', text, "left", top, width, height, kind FROM elements JOIN beside USING (capture_id, seg_ord) JOIN prose USING (capture_id) WHERE NOT prose OR beside),
+{L.greedy('given', 'capture_id, name', "CASE source WHEN 'primary' THEN 0 ELSE 1 END, ord", 0.7, 'kept', "r.source = 'primary'")}
+SELECT capture_id, seg_ord, source, text, "left", top, width, height, kind FROM kept""")
 def fused_rows(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse(rows(spark, d), elements(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ELEMENTS_SQL}, given AS (SELECT capture_id, upper(trim(text)) AS name, seg_ord AS ord, text, "left", top, width, height FROM elements UNION ALL SELECT capture_id, upper(trim(text)), seg_ord + 1, text, "left" + 1, top, width, height FROM elements WHERE seg_ord % 2 = 0),
+numbered AS (SELECT * REPLACE (row_number() OVER (PARTITION BY capture_id, name ORDER BY ord, "left") AS ord), ord AS seg_ord FROM given),
+{L.greedy('numbered', 'capture_id, name', 'width * height, top, "left", seg_ord', 0.72, 'kept')}
+SELECT capture_id, seg_ord, text, "left", top, width, height FROM kept""")
 def uncovered_elements(spark: SparkSession, d: str) -> DataFrame:
     again = elements(spark, d).where("seg_ord % 2 = 0").withColumn("seg_ord", F.col("seg_ord") + 1).withColumn("left", F.col("left") + 1)
     return fusion.drop_covered(elements(spark, d).unionByName(again).drop("kind"))
@@ -339,7 +350,10 @@ def same_lines(spark: SparkSession, d: str) -> DataFrame:
     return fusion.same_line_pairs(lines(spark, d).drop("words"), second_reading(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LAYOUT_SQL}, given AS (SELECT capture_id, 0 AS rank, line_ord AS ord, text, "left", top, width, height, {T.line_score('text', D)} AS score FROM lines
+    UNION ALL SELECT capture_id, 1, line_ord, text, "left", top, width, height, {T.line_score('text', D)} FROM (SELECT capture_id, line_ord, CASE WHEN line_ord % 3 = 0 THEN concat(text, ' @') ELSE text END AS text, "left" + line_ord % 7 AS "left", top, width, height FROM lines)),
+{L.responses('given', 'merged')}
+SELECT * FROM merged""")
 def merged_responses(spark: SparkSession, d: str) -> DataFrame:
     both = lines(spark, d).drop("words").withColumn("rank", F.lit(0)).unionByName(second_reading(spark, d).withColumn("rank", F.lit(1)))
     return fusion.merge_responses(both)
