@@ -17,7 +17,7 @@ from inkstrata.functions import geometry as G
 from inkstrata.functions import text as T
 from inkstrata.functions.dialect import DUCKDB as D
 from inkstrata.functions.labels import labelled
-from inkstrata.operators import fusion, modes, overlay, pixels, placement, readings, refinement, row_splits, segmentation, styles, traces, translation
+from inkstrata.operators import fusion, modes, overlay, pixels, placement, readings, refinement, reuse, row_splits, segmentation, styles, traces, translation
 from inkstrata.plans import layout_sql as L
 from inkstrata.sources import lexicon
 from inkstrata.sources.layout import LAYOUT_SQL, lines_of, table, words_of
@@ -540,6 +540,19 @@ def recent_cache(spark: SparkSession, d: str) -> DataFrame:
     return translation.least_recent(uses)
 
 
+# the second engine counts, for every use, the keys whose last use before it falls after its own last use
+@query("""WITH uses AS (SELECT event_id AS step, event_type AS src, 'ru' AS tgt, concat('user ', user_id) AS text FROM events),
+placed AS (SELECT *, row_number() OVER (ORDER BY step) AS pos FROM uses),
+linked AS (SELECT *, lag(pos) OVER w AS previous, coalesce(lead(pos) OVER w, 1000000000000) AS later FROM placed WINDOW w AS (PARTITION BY src, tgt, text ORDER BY pos)),
+counted AS (SELECT i.step, count(j.pos) AS distance FROM linked i LEFT JOIN linked j ON j.pos > i.previous AND j.pos < i.pos AND j.later >= i.pos WHERE i.previous IS NOT NULL GROUP BY i.step),
+judged AS (SELECT l.*, distance, coalesce(distance < 512, false) AS hit, coalesce(count(*) FILTER (previous IS NULL) OVER (ORDER BY l.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known FROM linked l LEFT JOIN counted USING (step))
+SELECT step, src, tgt, text, distance, hit, NOT hit AND known >= 512 AS evicts FROM judged""")
+def cache_log(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of one cache for all language pairs: how many other keys since the last one, whether it hits, whether it evicts."""
+    uses = table(spark, d, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("src"), F.lit("ru").alias("tgt"), F.concat(F.lit("user "), "user_id").alias("text"))
+    return reuse.cache_uses(uses, ["src", "tgt", "text"])
+
+
 @query()
 def marker_runs(spark: SparkSession, d: str) -> DataFrame:
     """Styled words marked, translated by the demonstrator, and parsed into runs again; fragment -1 is plain text."""

@@ -7,6 +7,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,25 +20,27 @@ def stream_segments(lines: DataFrame, write: Callable[[DataFrame, int], Any], ch
 
 
 def cached(uses: DataFrame, capacity: int = 512) -> DataFrame:
-    """(src, tgt, text, hit): whether each use of a text finds it among the ``capacity`` (2 at least) texts used last.
+    """(src, tgt, text, hit): whether each use finds its text among the ``capacity`` (2 at least) used last, of all language pairs.
 
-    State is dealt by language pair, so pairs run apart; each pair keeps a list
-    of at most ``capacity`` texts, the least recent going first.  Within a batch
-    uses follow ``step``.
+    One cache is one state, so its uses pass through one task, batch by batch; a
+    ``cache`` column, where ``uses`` has one, names several caches that run apart.
+    Within a batch uses follow ``step``.  The state is a list of at most
+    ``capacity`` keys, the least recent first.
     """
     most = max(2, capacity)
-
-    def run(key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict.fromkeys(state.get[0]) if state.exists else {}
-        for frame in frames:
-            rows = []
-            for text in frame.sort_values("step")["text"]:
-                rows.append((*key, text, text in held))
-                held.pop(text, None)
-                held[text] = None
-                if len(held) > most:
-                    held.pop(next(iter(held)))
-            yield pd.DataFrame(rows, columns=["src", "tgt", "text", "hit"])
-        state.update((list(held),))
-
-    return uses.groupBy("src", "tgt").applyInPandasWithState(run, "src string, tgt string, text string, hit boolean", "texts array<string>", "append", GroupStateTimeout.NoTimeout)
+    rows = uses if "cache" in uses.columns else uses.withColumn("cache", F.lit("all"))
+    columns = ["src", "tgt", "text"]
+
+    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict.fromkeys(map(tuple, state.get[0])) if state.exists else {}
+        out = []
+        for use in pd.concat(list(frames)).sort_values("step")[columns].itertuples(index=False, name=None):
+            out.append((*use, use in held))
+            held.pop(use, None)
+            held[use] = None
+            if len(held) > most:
+                held.pop(next(iter(held)))
+        state.update(([list(k) for k in held],))
+        yield pd.DataFrame(out, columns=[*columns, "hit"])
+
+    return rows.groupBy("cache").applyInPandasWithState(run, "src string, tgt string, text string, hit boolean", "entries array<array<string>>", "append", GroupStateTimeout.NoTimeout)
