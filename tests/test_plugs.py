@@ -51,8 +51,9 @@ def test_cache_state(spark, tmp_path):
     source = tmp_path / "uses"
     source.mkdir()
     schema = "step long, src string, tgt string, text string"
+    # two language pairs share the two places of one cache
     for i, texts in enumerate((["one", "two", "one", "three"], ["one", "two", "three"])):
-        pd.DataFrame([(10 * i + k, "en", "ru", t) for k, t in enumerate(texts)], columns=["step", "src", "tgt", "text"]).to_parquet(source / f"{i}.parquet")
+        pd.DataFrame([(10 * i + k, "en" if t != "two" else "de", "ru", t) for k, t in enumerate(texts)], columns=["step", "src", "tgt", "text"]).to_parquet(source / f"{i}.parquet")
     stream = captures.cached(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source)), 2)
     query = stream.writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
