@@ -17,7 +17,7 @@ from inkstrata.functions import geometry as G
 from inkstrata.functions import text as T
 from inkstrata.functions.dialect import DUCKDB as D
 from inkstrata.functions.labels import labelled
-from inkstrata.operators import fusion, modes, overlay, pixels, placement, readings, refinement, reuse, row_splits, segmentation, styles, traces, translation
+from inkstrata.operators import fusion, masks, modes, overlay, pixels, placement, readings, refinement, reuse, row_splits, segmentation, styles, traces, translation
 from inkstrata.plans import layout_sql as L
 from inkstrata.sources import lexicon
 from inkstrata.sources.layout import LAYOUT_SQL, lines_of, table, words_of
@@ -627,6 +627,14 @@ def visual_splits(spark: SparkSession, d: str) -> DataFrame:
     return visual_split.split_by_boxes(segs, boxes)
 
 
+@query()
+def picture_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes in pictures of 24 embeddings each, a row of pixels from every one: larger values are darker."""
+    rows = table(spark, d, "embeddings").where("vec_id IS NOT NULL AND size(embedding) > 0").select(F.expr("vec_id div 24").alias("picture"), F.expr("vec_id % 24").alias("y"), F.posexplode("embedding").alias("x", "value"))
+    pixels = rows.withColumn("v", F.expr("CAST(rint(255 * greatest(0D, least(1D, 0.8D - 2 * coalesce(nanvl(CAST(value AS double), 0D), 0D)))) AS int)"))
+    return masks.word_boxes(pixels.groupBy("picture", "x", "y").agg(F.min("v").alias("v")))
+
+
 # --- whole flow --------------------------------------------------------------
 
 
