@@ -546,11 +546,11 @@ placed AS (SELECT *, row_number() OVER (ORDER BY step) AS pos FROM uses),
 linked AS (SELECT *, lag(pos) OVER w AS previous, coalesce(lead(pos) OVER w, 1000000000000) AS later FROM placed WINDOW w AS (PARTITION BY src, tgt, text ORDER BY pos)),
 counted AS (SELECT i.step, count(j.pos) AS distance FROM linked i LEFT JOIN linked j ON j.pos > i.previous AND j.pos < i.pos AND j.later >= i.pos WHERE i.previous IS NOT NULL GROUP BY i.step),
 judged AS (SELECT l.*, distance, coalesce(distance < 512, false) AS hit, coalesce(count(*) FILTER (previous IS NULL) OVER (ORDER BY l.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known FROM linked l LEFT JOIN counted USING (step))
-SELECT step, src, tgt, text, distance, hit, NOT hit AND known >= 512 AS evicts FROM judged""")
+SELECT step, src, tgt, text, coalesce(distance, -1) AS distance, hit, NOT hit AND known >= 512 AS evicts FROM judged""")
 def cache_log(spark: SparkSession, d: str) -> DataFrame:
-    """Every use of one cache for all language pairs: how many other keys since the last one, whether it hits, whether it evicts."""
+    """Every use of one cache for all language pairs: how many other keys since the last one (-1: none before), whether it hits, whether it evicts."""
     uses = table(spark, d, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("src"), F.lit("ru").alias("tgt"), F.concat(F.lit("user "), "user_id").alias("text"))
-    return reuse.cache_uses(uses, ["src", "tgt", "text"])
+    return reuse.cache_uses(uses, ["src", "tgt", "text"]).fillna(-1, ["distance"])
 
 
 @query()
@@ -629,10 +629,12 @@ def visual_splits(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def picture_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes in pictures of 24 embeddings each, a row of pixels from every one: larger values are darker."""
-    rows = table(spark, d, "embeddings").where("vec_id IS NOT NULL AND size(embedding) > 0").select(F.expr("vec_id div 24").alias("picture"), F.expr("vec_id % 24").alias("y"), F.posexplode("embedding").alias("x", "value"))
-    pixels = rows.withColumn("v", F.expr("CAST(rint(255 * greatest(0D, least(1D, 0.8D - 2 * coalesce(nanvl(CAST(value AS double), 0D), 0D)))) AS int)"))
-    return masks.word_boxes(pixels.groupBy("picture", "x", "y").agg(F.min("v").alias("v")))
+    """Boxes of words in a picture of every supplier's name, nation and balance: a letter is two dark columns and a light one."""
+    text = "concat_ws('  ', ' ', s_name, s_nationkey, s_acctbal, ' ')"
+    letters = table(spark, d, "supplier").select(F.col("s_suppkey").alias("picture"), F.posexplode(F.expr(f"split({text}, '')")).alias("i", "letter"))
+    pixels = letters.select("picture", "i", "letter", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("dx")).select("*", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("y"))
+    shade = "CASE WHEN letter <> ' ' AND dx < 2 AND y BETWEEN 3 AND 11 THEN 40 + ascii(letter) % 30 ELSE 225 + (i + y) % 4 END"
+    return masks.word_boxes(pixels.selectExpr("picture", "CAST(3 * i + dx AS int) AS x", "y", f"CAST({shade} AS int) AS v"))
 
 
 # --- whole flow --------------------------------------------------------------
