@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstrata.functions.labels import let
 from inkstrata.functions.text import normalize, skipped
 
 WORD_TYPE = "struct<text: string, left: double, top: double, width: double, height: double>"
@@ -24,9 +25,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """Lines with words from plain text, by integer geometry: no shuffle.
 
     Each text line is cut into rows of 3 to 10 words (by the document's id); two
-    neighbouring pieces share a row, the second 900 to the right.
+    neighbouring pieces share a row, the second 900 to the right.  A text line of
+    over 100,000 rows counts as several lines.  Documents with a null id have no
+    capture and give no lines.
     """
-    at = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("capture_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("capture_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls")).withColumn("most", F.expr("CAST(100000 * (3 + pmod(capture_id, 8)) AS int)"))
+    # a line of so many words has more characters than that
+    cut = let("ts", "filter(split(l, ' '), t -> t <> '')", "transform(sequence(0, greatest(0, size(ts) - 1) div most), i -> array_join(slice(ts, CAST(i * most + 1 AS int), most), ' '))")
+    lines = f"CASE WHEN exists(ls, l -> length(l) > most) THEN flatten(transform(ls, l -> CASE WHEN length(l) > most THEN {cut} ELSE array(l) END)) ELSE ls END"
+    at = own.select("capture_id", F.posexplode(F.expr(lines)).alias("line_no", "line"))
     at = at.withColumn("tokens", F.expr("filter(split(line, ' '), t -> t <> '')")).withColumn("k", F.expr("CAST(3 + pmod(capture_id, 8) AS int)"))
     at = at.where("size(tokens) > 0").withColumn("chunk", F.expr("explode(sequence(0, (size(tokens) - 1) div k))"))
     at = at.withColumn("chunk", F.col("chunk").cast("int")).withColumn("piece", F.expr("slice(tokens, chunk * k + 1, k)"))
