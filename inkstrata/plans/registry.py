@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstrata.functions import geometry as G
+from inkstrata.functions import measure
 from inkstrata.functions import text as T
 from inkstrata.functions.dialect import DUCKDB as D
 from inkstrata.functions.labels import labelled
 from inkstrata.operators import fusion, masks, modes, overlay, pixels, placement, readings, refinement, reuse, row_splits, segmentation, styles, traces, translation
 from inkstrata.plans import layout_sql as L
+from inkstrata.plans import measure_sql as M
 from inkstrata.sources import lexicon
 from inkstrata.sources.layout import LAYOUT_SQL, lines_of, table, words_of
 from inkstrata.sources.stages import spread, stage, with_stages
@@ -579,22 +581,25 @@ def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {SEGMENTS_SQL},
 shown AS (SELECT capture_id, seg_ord AS line_ord, text AS source_text, concat('[fallback] ', text) AS translated, "left", top, width, height, kind, 1 AS source_line_count, (7 * capture_id + seg_ord) % 40 AS deviation FROM segs WHERE width > 0 AND height > 0),
-ordered AS (SELECT *, coalesce(lead(top) OVER (PARTITION BY capture_id ORDER BY top, "left", line_ord), 1e8 - 6) AS next_top, kind = 'Paragraph' AS wrap, least(26::DOUBLE, greatest(11.5::DOUBLE, 0.94::DOUBLE * height)) AS font, greatest(0::DOUBLE, top - 1) AS y FROM shown),
-wished AS (SELECT *, length(translated) * font * 0.56::DOUBLE AS m, greatest(0::DOUBLE, "left" - CASE WHEN wrap THEN 3 ELSE 2 END) AS x, CASE WHEN y < 30 THEN 34 WHEN wrap THEN 8 ELSE 6 END AS gutter,
-    CASE WHEN wrap THEN greatest(width + 22, width * 1.18::DOUBLE) ELSE greatest(width + 10, length(translated) * font * 0.56::DOUBLE + 18, width * least(2.9::DOUBLE, greatest(1.12::DOUBLE, 0.98::DOUBLE * greatest(1, length(translated)) / greatest(1, length(source_text))))) END AS wish FROM ordered),
-roomy AS (SELECT *, greatest(CASE WHEN wrap THEN 80 ELSE 40 END, 1200 - x - gutter) AS room, greatest(0::DOUBLE, "left" + width - wish - 2) AS anchored FROM wished),
-moved AS (SELECT *, greatest(40::DOUBLE, 1200 - anchored - gutter) AS other, NOT wrap AND wish > room AND greatest(40::DOUBLE, 1200 - anchored - gutter) > room AS shift FROM roomy),
-boxed AS (SELECT *, CASE WHEN shift THEN anchored ELSE x END AS box_left, greatest(10::DOUBLE, least(wish, CASE WHEN shift THEN other ELSE room END)) AS bw, least(1e8 - y, CASE WHEN wrap THEN greatest(height + 6, font * 1.38::DOUBLE * 2 + 8) ELSE greatest(12::DOUBLE, height + 2, font * 1.34::DOUBLE) END) AS bh, greatest(0::DOUBLE, next_top - y - 2) AS free FROM moved),
-grown AS (SELECT * EXCLUDE (bh), CASE WHEN NOT wrap AND m > greatest(10::DOUBLE, bw - 8) AND free >= font * 2.1::DOUBLE AND least(free, greatest(bh, ceil(m / greatest(10::DOUBLE, bw - 8)) * font * 1.24::DOUBLE + 4)) > bh + 2 THEN least(free, greatest(bh, ceil(m / greatest(10::DOUBLE, bw - 8)) * font * 1.24::DOUBLE + 4)) ELSE bh END AS bh FROM boxed),
-seeded AS (SELECT * EXCLUDE (font), wrap OR bh > height * 1.6::DOUBLE AS flows, least(24::DOUBLE, greatest(10.5::DOUBLE, font)) AS seed, greatest(10.5::DOUBLE, 0.84::DOUBLE * least(24::DOUBLE, greatest(10.5::DOUBLE, font))) AS lowest, length(translated) AS n FROM grown),
-sized AS (SELECT *, coalesce(list_filter(list_transform(range(0, 29), lambda k: seed - k * 0.5::DOUBLE), lambda s: s >= lowest AND CASE WHEN flows THEN ceil(n * s * 0.56::DOUBLE / greatest(10::DOUBLE, bw - 10)) * s * 1.24::DOUBLE <= bh - 4 ELSE n * s * 0.56::DOUBLE <= bw - 8 AND s * 1.24::DOUBLE <= bh - 4 END)[1], lowest) AS font FROM seeded)
-SELECT capture_id, line_ord, wrap, font, box_left, y AS box_top, bw AS box_width, CASE WHEN flows THEN least(greatest(bh, next_top - y - 2), greatest(bh, ceil(n * font * 0.56::DOUBLE / greatest(10::DOUBLE, bw - 10)) * font * 1.24::DOUBLE + 8)) ELSE bh END AS box_height,
-    CASE WHEN flows THEN font * 1.24::DOUBLE END AS line_height, {styles.opacity()} AS alpha FROM sized WHERE bw > 10 AND CASE WHEN flows THEN least(greatest(bh, next_top - y - 2), greatest(bh, ceil(n * font * 0.56::DOUBLE / greatest(10::DOUBLE, bw - 10)) * font * 1.24::DOUBLE + 8)) ELSE bh END > 6""")
+{M.placed('shown')}
+SELECT * EXCLUDE (deviation, kind, source_line_count), {styles.opacity()} AS alpha FROM overlay""")
 def overlay_boxes(spark: SparkSession, d: str) -> DataFrame:
     shown = rows(spark, d).select("capture_id", F.col("seg_ord").alias("line_ord"), F.col("text").alias("source_text"), F.concat(F.lit("[fallback] "), "text").alias("translated"), "left", "top", "width", "height", "kind", F.lit(1).alias("source_lines"), F.expr("(7 * capture_id + seg_ord) % 40").alias("deviation"))
     return placement.placements(shown, 1200.0, 1e8)
 
 
+#: Widths that texts are broken in, narrower than a usual column so that most lines break and long words do too.
+_ROOMS = (60, 150, 420)
+
+
+@query(f"WITH {LAYOUT_SQL}, room(room) AS (VALUES {', '.join(f'({r}::DOUBLE)' for r in _ROOMS)}), inked AS (SELECT capture_id, line_ord, height, {M.em('text')} AS em, {M.words('text')} AS words FROM lines) SELECT capture_id, line_ord, room, em, {M.width('em', 'height')} AS width, {M.rows('words', 'room', 'height')} AS rows FROM inked, room")
+def text_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every line's advance, its width at its height as size, and the rows that it takes in three widths."""
+    inked = lines(spark, d).select("capture_id", "line_ord", "height", F.expr(measure.widest("text")).alias("em"), F.expr(measure.tokens("text")).alias("tokens"))
+    out = inked.withColumn("room", F.explode(F.array(*(F.lit(float(r)) for r in _ROOMS))))
+    return out.select("capture_id", "line_ord", "room", "em", F.expr(measure.width("em", "height")).alias("width"), F.expr(measure.rows_in("tokens", "room", "height")).alias("rows"))
+
+
 @query(f"WITH {LAYOUT_SQL} SELECT capture_id, string_agg({T.normalize('text', D)}, chr(10) ORDER BY line_ord) AS text FROM lines GROUP BY capture_id")
 def previews(spark: SparkSession, d: str) -> DataFrame:
     return placement.previews(lines(spark, d))
