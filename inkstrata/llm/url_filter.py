@@ -15,7 +15,7 @@ anything is shuffled by host, and the tree is worked on as a table of templates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstrata.llm.common import materialise
@@ -56,34 +56,42 @@ def template_parts(path: Column) -> Column:
     return F.transform(parts, one)
 
 
-def _levels(table: DataFrame, parts: str) -> DataFrame:
-    """A row for each template and depth, with the prefixes above and down to its segment there."""
-    prefix = lambda depth: F.array_join(F.slice(parts, F.lit(1), depth), "/")
-    rows = table.where(F.size(parts) >= 1).withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(parts))))
-    return rows.withColumn("above", prefix(F.col("depth") - 1)).withColumn("branch", prefix(F.col("depth"))).drop("parts", "general")
+def _name(*of: Column) -> Column:
+    """128 bits of hashes in place of a long text."""
+    return F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(*of, F.lit("again")).alias("b"))
 
 
-def generalised(urls: DataFrame) -> DataFrame:
-    """(host, template, general, blocked, labelled) with wildcards where a host's values vary by their counts."""
+def with_prefixes(levels: DataFrame) -> DataFrame:
+    """Rows of (host, template, depth, segment) with names of the prefixes ``above`` them and down to them (``branch``).
+
+    A prefix is named by the hashes of its segments with their depths, folded by
+    exclusive or along the path: a path of n segments costs n, not n times its length.
+    """
+    down = Window.partitionBy("host", "template").orderBy("depth")
+    run = lambda part, frame: F.coalesce(F.bit_xor(F.xxhash64("depth", "segment", F.lit(part))).over(frame), F.lit(0).cast("long"))
+    both = lambda frame: F.struct(run("a", frame).alias("a"), run("b", frame).alias("b"))
+    return levels.withColumns({"above": both(down.rowsBetween(Window.unboundedPreceding, -1)), "branch": both(down.rowsBetween(Window.unboundedPreceding, 0))})
+
+
+def generalised(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Templates (host, template, blocked, labelled), and a row for each of their segments: wildcards where a host's values vary by their counts."""
     table = urls.groupBy("host", "template").agg(F.first("parts").alias("parts"), F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
     table = materialise(table, "templates")
-    levels = _levels(table, "parts")
+    levels = with_prefixes(table.select("host", "template", "n", "blocked", "labelled", F.posexplode("parts").alias("depth", "segment")))
     here = levels.groupBy("host", "depth", "above", "branch").agg(F.sum("n").alias("n"))
-    varies = here.groupBy("host", "depth", "above").agg(F.count("*").alias("values"), F.sum("n").alias("n")).where((F.col("values") >= MANY_VALUES) & (F.col("n") < URLS_A_VALUE * F.col("values"))).select("host", "depth", "above")
-    wild = levels.join(varies, ["host", "depth", "above"]).groupBy("host", "template").agg(F.collect_set("depth").alias("wild"))
-    general = F.transform("parts", lambda s, i: F.when(F.array_contains("wild", i + 1), "*").otherwise(s))
-    table = table.join(wild, ["host", "template"], "left").withColumn("general", F.when(F.col("wild").isNotNull(), general).otherwise(F.col("parts")))
-    return materialise(table.select("host", "template", "general", "blocked", "labelled"), "general")  # plans stay small: the table of templates is
+    varies = here.groupBy("host", "depth", "above").agg(F.count("*").alias("values"), F.sum("n").alias("n")).where((F.col("values") >= MANY_VALUES) & (F.col("n") < URLS_A_VALUE * F.col("values"))).select("host", "depth", "above", F.lit("*").alias("wild"))
+    wild = levels.join(varies, ["host", "depth", "above"], "left").select("host", "template", "blocked", "labelled", "depth", F.coalesce("wild", "segment").alias("segment"))
+    return table.drop("parts", "n"), materialise(wild, "general")  # plans stay small: the tables of templates are
 
 
-def purity(table: DataFrame) -> DataFrame:
+def purity(table: DataFrame, levels: DataFrame) -> DataFrame:
     """(host, template, purity): smoothed share of blocked examples of each template's place in the tree."""
     total = table.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     overall = ((total["b"] or 0) + 0.5) / ((total["l"] or 0) + 1.0)
     root = table.groupBy("host").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     root = root.select("host", ((F.col("b") + PRIOR_WEIGHT * F.lit(overall)) / (F.col("l") + PRIOR_WEIGHT)).alias("share"))
     # what a node counts depends on the counts only, so the nodes of all depths are made at once
-    levels = _levels(table, "general")
+    levels = with_prefixes(levels)
     nodes = levels.groupBy("host", "depth", "above", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     around = nodes.groupBy("host", "depth", "above").agg(F.sum("b").alias("all_b"), F.sum("l").alias("all_l"))
     nodes = nodes.join(around, ["host", "depth", "above"])
@@ -109,15 +117,16 @@ def judge(pages: DataFrame) -> DataFrame:
 
     A null url, or one without ``://``, has an empty host and path, no rule, and
     is judged as the root of the empty host: like all hosts together.  Repeated
-    rows each get their row; an empty table gives none.
+    rows each get their row; an empty table gives none.  A url of any length costs
+    in proportion to it.
     """
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("ruled", rule_of(F.col("host"), F.col("path")))
-    urls = urls.withColumn("parts", template_parts(F.col("path"))).withColumn("template", F.array_join("parts", "/"))
+    urls = urls.withColumn("parts", template_parts(F.col("path"))).withColumn("template", _name(F.array_join("parts", "/")))
     counted = urls.groupBy("host", "template", F.col("ruled.verdict").alias("label")).agg(F.first("parts").alias("parts"), F.count("*").alias("n"))
     counted = counted.select("host", "template", "parts", "n", F.when(F.col("label") == "block", F.col("n")).otherwise(0).alias("blocked"), F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0).alias("labelled"))
     # a written table: its size is known, and decides between a broadcast and a join
-    shares = materialise(purity(generalised(counted)), "purity")
+    shares = materialise(purity(*generalised(counted)), "purity")
     out = urls.select("page_id", "host", "path", "ruled", "template").join(shares, ["host", "template"], "left")
     verdict = F.coalesce(F.col("ruled.verdict"), F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), verdict.alias("verdict"))

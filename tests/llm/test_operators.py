@@ -145,6 +145,15 @@ def test_url_filter_tells_deep_paths_apart(spark, monkeypatch):
     assert found == sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_filter.oracle_sql()})").fetchall())
 
 
+def test_url_filter_on_very_long_paths(spark):
+    """Cost follows the length: a path of 60,000 segments, and ones that differ in the last segment only."""
+    long = "https://t.com/" + "/".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(60_000))
+    urls = [long, long + "/x", long + "/y"] + [f"https://t.com/de/{i}" for i in range(5)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r["page_id"]: (r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages).collect()}
+    assert len(out) == 8 and all(out[i] == (urls[i].removeprefix("https://t.com"), None, "block") for i in range(3)) and out[3][1:] == ("com/de/", "block")
+
+
 # --- 4 ---------------------------------------------------------------------
 
 
