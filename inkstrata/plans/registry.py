@@ -8,6 +8,7 @@ integer arithmetic, so that both engines see the same input.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,8 @@ from inkstrata.plans import layout_sql as L
 from inkstrata.plans import measure_sql as M
 from inkstrata.sources import lexicon
 from inkstrata.sources.layout import LAYOUT_SQL, lines_of, table, words_of
-from inkstrata.sources.stages import spread, stage, with_stages
+from inkstrata.sources.stages import scratch_root, spread, stage, with_stages
+from inkstrata.streaming import rings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -775,6 +777,16 @@ def last_traces(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "user_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
 
 
+@query("SELECT event_type AS ring, ts AS at, event_id AS id, user_id::VARCHAR AS body FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 20")
+def recent_traces(spark: SparkSession, d: str) -> DataFrame:
+    """The last 20 events of each type, kept as stream state while the table is read as a stream."""
+    root = f"{scratch_root(spark)}/rings-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("recursiveFileLookup", "true").parquet(f"{d}/events.parquet")  # one file or a folder of them
+    rings.keep(events.selectExpr("event_type AS ring", "CAST(ts AS timestamp) AS at", "event_id AS id", "CAST(user_id AS string) AS body"), f"{root}/kept", f"{root}/mark").awaitTermination()
+    # a table read as it stands: the scratch folder may go
+    return stage(rings.latest(spark, f"{root}/kept"), "recent")
+
+
 @query("SELECT event_type AS name, user_id AS handle, count(*) AS seen FROM events GROUP BY event_type, user_id QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) = 1")
 def topmost_windows(spark: SparkSession, d: str) -> DataFrame:
     return traces.most_frequent(table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("user_id").alias("handle")))
