@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def phase_times(events: DataFrame) -> DataFrame:
-    """capture_id, phase, spent, times: durations that are not positive count for nothing."""
+def phase_times(events: DataFrame, order: str | None = None) -> DataFrame:
+    """capture_id, phase, spent, times: durations that are not positive count for nothing.
+
+    With ``order``, a column without equals, durations are added up in that
+    order: a sum of fractions then is the same however the rows are dealt, and
+    so is the whole number that it is rounded to.
+    """
+    if order is not None:
+        so_far = F.sum("spent").over(Window.partitionBy("capture_id", "phase").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        return events.where("spent > 0").withColumn("so_far", so_far).groupBy("capture_id", "phase").agg(F.max_by("so_far", order).alias("spent"), F.count("*").alias("times"))
     return events.where("spent > 0").groupBy("capture_id", "phase").agg(F.sum("spent").alias("spent"), F.count("*").alias("times"))
 
 
@@ -21,9 +29,9 @@ def phase_of(profile: str, preprocess: str) -> str:
     return f"CASE {profile} WHEN 'FullPage' THEN CASE WHEN {preprocess} THEN 'FullPageOcrPreprocess' ELSE 'FullPageOcrRecognize' END WHEN 'UiLabelRecovery' THEN 'UiLabelRecovery' ELSE 'SegmentRefinement' END"
 
 
-def recognition_times(events: DataFrame) -> DataFrame:
-    """capture_id, phase, spent, times of recognitions (capture_id, profile, preprocess, spent)."""
-    return phase_times(events.select("capture_id", F.expr(phase_of("profile", "preprocess")).alias("phase"), "spent"))
+def recognition_times(events: DataFrame, order: str | None = None) -> DataFrame:
+    """capture_id, phase, spent, times of recognitions (capture_id, profile, preprocess, spent, and ``order`` if they are added up by it)."""
+    return phase_times(events.select("capture_id", F.expr(phase_of("profile", "preprocess")).alias("phase"), "spent", *filter(None, [order])), order)
 
 
 def report_lines(times: DataFrame, captures: DataFrame) -> DataFrame:
