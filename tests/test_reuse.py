@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkstrata.operators import reuse
 
@@ -35,3 +36,10 @@ def test_log_against_a_plain_list(spark, monkeypatch, seed, block):
 
 def test_empty_log(spark):
     assert reuse.cache_uses(spark.createDataFrame([], "step long, text string"), ["text"]).count() == 0
+
+
+def test_distances_are_counted_once_a_use(spark):
+    """No table of a row per use and level is made and summed up again."""
+    uses = spark.createDataFrame([(i, f"k{i * i % 7}") for i in range(50)], "step long, text string").withColumn("pos", F.col("step"))
+    plan = reuse._smaller_before(reuse.with_previous(uses, ["text"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("FlatMapGroupsInPandas") == 2
